@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from notemill.plans import text_queries
+
+_PARTS = (text_queries,)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
