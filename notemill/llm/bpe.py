@@ -29,7 +29,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 CACHE_PIECES, CACHE_CHARS, FITS_PAIRS = 500_000, 64, 1_000_000
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -40,7 +40,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         ids: dict[bytes, int] = {as_bytes(k): v for k, v in spec["model"]["vocab"].items()}
         self.byte_id = [ids[bytes([b])] for b in range(256)]

@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.llm import common as C
+from notemill.llm.bpe import byte_alphabet
 
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words that a worker remembers at most, and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
 #: White space that the tokenizer knows; str.split also cuts at 1C to 1F.
 _CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Marks that the tokenizer always cuts off from letters.
+_MARKS = ".,;:!?%$&*#|"
 
 
-class WordCache:
-    """A tokenizer whose normalizer and pre-tokenizer never look past white space, asked once for each word."""
+class WordCache(dict):
+    """A word's ids as little-endian 32-bit numbers, for a tokenizer whose normalizer (NFC, white space, lower case) and
+    pre-tokenizer never look past white space: each word is encoded when it first comes up.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,26 +42,30 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
-
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        split = [(_SPACE.split(t) if _CONTROL.search(t) else t.split()) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = list({w for words in split for w in words}.difference(known))
-        new = dict(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
-        known.update(new)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
-        return out
+        self.alphabet = {b: ord(c) for c, b in byte_alphabet().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha() and letters == letters.lower() and is_normalized("NFC", letters):
+            # lower-case letters pass the normalizer and the pre-tokenizer as they are
+            if len(letters) < len(word):
+                ids = self[letters] + self[word[len(letters) :]]
+            else:
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], "<i4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if "<|" not in text and "Σ" not in text and (text.isascii() or is_normalized("NFC", text)):
+            low = text.lower()
+            text = low if low.isascii() or is_normalized("NFC", low) else text
+        words = _SPACE.split(text) if _CONTROL.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(2)
@@ -68,19 +79,17 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, key: str
     path: a tokenizers file, present on every executor, whose words end at white space. encoding: "dictionary" or "delta". Each row ends with
     end_id; null and empty texts have that id only. Rows that share a key are in order of their texts; repeated rows are all written.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, end = docs.schema[key].dataType.simpleString(), np.array([end_id], "<i4").tobytes()
 
     def run(batches):
         words = load(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids = words.encode_all(part.column(1).to_pylist())
-                ends = np.cumsum([0] + [len(x) + 1 for x in ids], dtype=np.int32)
-                flat = np.full(ends[-1], end_id, np.int32)
-                for x, at in zip(ids, ends):
-                    flat[at : at + len(x)] = x
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "n_tokens", "ids"])
+                ids = [words.encode(t) + end if t else end for t in part.column(1).to_pylist()]
+                n = np.array([len(x) >> 2 for x in ids], np.int64)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["key", "n_tokens", "ids"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
