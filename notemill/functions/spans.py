@@ -33,3 +33,52 @@ def keep_apart(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
     kind = ranked.schema["s"].dataType.simpleString()
     fold = F.expr(f"aggregate(s, cast(array() as {kind}), (acc, x) -> if(exists(acc, y -> x.start < y.end and y.start < x.end), acc, concat(acc, array(x))))")
     return ranked.select(key, F.inline(fold)).select(key, *fields)
+
+
+def scan_many(docs: DataFrame, rules: list[tuple], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, rule (place in rules), start, end, match of every rule's matches, in one pass over the texts; a rule's first field is its pattern.
+
+    Texts are cut only by the patterns they match.
+    """
+    t = docs.select(F.col(key), F.col(text).alias("_t"))
+    none = F.array().cast("array<string>")
+    found = [F.when(F.col("_t").rlike(r[0]), F.regexp_extract_all("_t", F.lit(r[0]), 0)).otherwise(none).alias(f"_m{i}") for i, r in enumerate(rules)]
+    t = t.select(key, "_t", *found)
+    gaps = [F.when(F.size(f"_m{i}") > 0, F.transform(F.split("_t", r[0], -1), F.length)).otherwise(F.array().cast("array<int>")).alias(f"_p{i}") for i, r in enumerate(rules)]
+    t = t.select(key, *[f"_m{i}" for i in range(len(rules))], *gaps)
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    each = [F.transform(F.when(F.size(f"_m{i}") > 0, offsets(f"_m{i}", f"_p{i}")).otherwise(none), _numbered(i)) for i in range(len(rules))]
+    return t.select(key, F.inline(F.flatten(F.array(*each))))
+
+
+def _numbered(i: int):
+    return lambda s: F.struct(F.lit(i).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))
+
+
+def keep_longest(spans: DataFrame, key: str) -> DataFrame:
+    """Per key, in order of start (longer, then surer first): a span that overlaps the last kept one replaces it if it is longer, else goes."""
+    fields = [c for c in spans.columns if c != key]
+    order = F.struct("start", (F.col("start") - F.col("end")).alias("_len"), (-F.col("confidence")).alias("_conf"), *[c for c in fields if c != "start"])
+    ranked = spans.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("s"))
+    kind = ranked.schema["s"].dataType.simpleString()
+    fold = F.expr(f"""aggregate(s, cast(array() as {kind}), (acc, x) ->
+        case when size(acc) = 0 or x.start >= element_at(acc, -1).end then concat(acc, array(x))
+             when x.end - x.start > element_at(acc, -1).end - element_at(acc, -1).start then concat(slice(acc, 1, size(acc) - 1), array(x))
+             else acc end)""")
+    return ranked.select(key, F.inline(fold)).select(key, *fields)
+
+
+def replace_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the given spans (start, end, new; none overlap) written over. Each text's spans are folded in its row."""
+    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_s"))
+    joined = docs.join(per, key, "left")
+    done = F.expr(f"""aggregate(_s, struct(0L as at, cast('' as string) as out),
+        (acc, x) -> struct(x.end as at, concat(acc.out, substring({text}, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), x.new) as out),
+        acc -> concat(acc.out, substring({text}, cast(acc.at + 1 as int))))""")
+    return joined.withColumn(text, F.when(F.col("_s").isNull(), F.col(text)).otherwise(done)).drop("_s")
+
+
+def before(text: Column, start: Column, n: int) -> Column:
+    """Up to n characters that end where a span starts."""
+    low = F.greatest(start - n, F.lit(0))
+    return F.substring(text, (low + 1).cast("int"), (start - low).cast("int"))
