@@ -19,7 +19,7 @@ from notemill.llm import common as C
 
 BUCKET_BITS, STEPS, GRADES = 20, 12, 3
 #: Rows to fit on at most, and of these how many must have a feature for it to get a weight.
-TRAIN_ROWS, LEAST_ROWS = 20_000, 8
+TRAIN_ROWS, LEAST_ROWS = 10_000, 8
 EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.1, 3e-4
 
 _SYMBOL = np.ones(256, bool)
@@ -48,7 +48,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def buckets(feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << BUCKET_BITS) - 1)
-    return (feature & low).astype(np.int64), ((feature >> np.uint64(32)) & low).astype(np.int64)
+    return (feature & low).astype(np.int32), ((feature >> np.uint64(32)) & low).astype(np.int32)
 
 
 def _logistic(x):
@@ -60,8 +60,11 @@ def fit(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> tuple[np.n
     n, size = len(grade), 1 << BUCKET_BITS
     first, second = buckets(feature)
     often = np.minimum(np.bincount(first, minlength=size)[first], np.bincount(second, minlength=size)[second]) >= LEAST_ROWS
-    owner, used, place = owner[often], *np.unique(np.concatenate([first[often], second[often]]), return_inverse=True)
-    first, second = np.split(place, 2)
+    owner, first, second = owner[often], first[often], second[often]
+    used = np.flatnonzero(np.bincount(first, minlength=size) + np.bincount(second, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    first, second = place[first], place[second]
     everything, size = np.zeros(size, np.float32), len(used)
     order = np.argsort(owner, kind="stable")
     first, second, ends = first[order], second[order], np.searchsorted(owner[order], np.arange(n + 1))
@@ -117,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     grades = got.column("grade").to_numpy()
     ends = lists.offsets.to_numpy()
     feature = lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]] if len(grades) else np.zeros(0, np.uint64)
-    return fit(np.repeat(np.arange(len(grades)), np.diff(ends)), feature, grades.astype(np.int64))
+    return fit(np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(ends)), feature, grades.astype(np.int64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
