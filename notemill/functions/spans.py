@@ -41,18 +41,14 @@ def scan_many(docs: DataFrame, rules: list[tuple], key: str = "doc_id", text: st
     Texts are cut only by the patterns they match.
     """
     t = docs.select(F.col(key), F.col(text).alias("_t"))
-    none = F.array().cast("array<string>")
-    found = [F.when(F.col("_t").rlike(r[0]), F.regexp_extract_all("_t", F.lit(r[0]), 0)).otherwise(none).alias(f"_m{i}") for i, r in enumerate(rules)]
-    t = t.select(key, "_t", *found)
-    gaps = [F.when(F.size(f"_m{i}") > 0, F.transform(F.split("_t", r[0], -1), F.length)).otherwise(F.array().cast("array<int>")).alias(f"_p{i}") for i, r in enumerate(rules)]
-    t = t.select(key, *[f"_m{i}" for i in range(len(rules))], *gaps)
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    each = [F.transform(F.when(F.size(f"_m{i}") > 0, offsets(f"_m{i}", f"_p{i}")).otherwise(none), _numbered(i)) for i in range(len(rules))]
-    return t.select(key, F.inline(F.flatten(F.array(*each))))
-
-
-def _numbered(i: int):
-    return lambda s: F.struct(F.lit(i).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))
+    no_text, no_gap = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<int>)")
+    found = [F.when(F.col("_t").rlike(r[0]), F.regexp_extract_all("_t", F.lit(r[0]), 0)).otherwise(no_text) for r in rules]
+    t = t.select(key, "_t", F.array(*found).alias("_ms"))
+    gaps = [F.when(F.size(F.get("_ms", F.lit(i))) > 0, F.transform(F.split("_t", r[0], -1), F.length)).otherwise(no_gap) for i, r in enumerate(rules)]
+    t = t.select(key, "_ms", F.array(*gaps).alias("_ps"))
+    fields = ["start", "end", "match"]
+    rows = t.select(key, F.posexplode(F.arrays_zip("_ms", "_ps")).alias("rule", "_r")).where("size(_r._ms) > 0").select(key, "rule", F.col("_r._ms").alias("_m"), F.col("_r._ps").alias("_p"))
+    return rows.select(key, "rule", F.inline(offsets("_m", "_p"))).select(key, "rule", *fields)
 
 
 def keep_longest(spans: DataFrame, key: str) -> DataFrame:
