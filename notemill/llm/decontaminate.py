@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     Words: A-Z lower-cased, runs of digits, letters and non-ASCII. Null and empty texts have no words and hit nothing;
     items without words are never found; an empty items table finds nothing. Repeated rows, repeated keys and null keys
-    are judged row by row. Equal items are all reported. Other columns are ignored.
+    are judged row by row. Equal items are all reported; an item without an id hits words but has no id to report. Other columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()

@@ -20,7 +20,7 @@ from notemill.llm import common as C
 BUCKET_BITS, STEPS, GRADES = 20, 12, 3
 #: Rows to fit on at most, and of these how many must have a feature for it to get a weight.
 TRAIN_ROWS, LEAST_ROWS = 10_000, 8
-EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.1, 3e-4
+ROUNDS, BATCH, RATE, DECAY = 1_200, 256, 0.1, 3e-4
 
 _SYMBOL = np.ones(256, bool)
 _SYMBOL[[32, *range(9, 14), *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -73,7 +73,7 @@ def fit(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> tuple[np.n
     share = np.cumsum(np.bincount(grade, minlength=GRADES) + 1)[:-1] / (n + GRADES)
     cuts = np.log(share / (1 - share))
     cut_history = np.full(len(cuts), 1e-6)
-    for step in range(EPOCHS * n // BATCH + bool(n)):
+    for step in range(ROUNDS if n else 0):
         low = step * BATCH % n
         high = min(low + BATCH, n)
         at, y, m = slice(ends[low], ends[high]), grade[low:high], high - low
