@@ -7,7 +7,6 @@ import pytest
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +20,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-def rows(df, *columns):
-    """df's rows as sorted tuples."""
-    return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)
