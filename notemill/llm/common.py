@@ -52,11 +52,11 @@ def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     return docs, docs.withColumn("_key", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), *place))
 
 
-def chosen(keys: tuple[DataFrame, DataFrame], kept: DataFrame) -> DataFrame:
-    """The rows of keyed() whose _key is in kept."""
+def chosen(keys: tuple[DataFrame, DataFrame], kept: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of keyed() whose _key is in kept (or, for left_anti, is not)."""
     docs, rows = keys
     at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
-    return at(rows).join(at(kept.select("_key")).select("_file", "_at"), ["_file", "_at"], "left_semi").select(*docs.columns)
+    return at(rows).join(at(kept.select("_key")).select("_file", "_at"), ["_file", "_at"], how).select(*docs.columns)
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):

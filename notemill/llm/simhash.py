@@ -1,9 +1,9 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints that differ in 2 bits or fewer differ in at most one bit of the first half or at most one bit of the second.
-So there are two trees, one over the Hamming distance within each half, and a query's radius there is 1. A node of a tree splits
-fingerprints by their distance to a vantage fingerprint; the triangle inequality says which side a ball of radius 1 can
-reach. Leaves are the shards: each fingerprint has its home leaf and is sent, as a query, to the leaves that its ball overlaps
+Of fingerprints cut into p parts, two that differ in r bits or fewer differ in at most r // p bits of some part: for r = 2
+and halves, in one bit of one half. So there is a tree for each part, over the Hamming distance within it, and a query's
+radius there is r // p. A node of a tree splits fingerprints by their distance to a vantage fingerprint; the triangle inequality
+says which side a query's ball can reach. Leaves are the shards: each fingerprint has its home leaf and is sent, as a query, to the leaves that its ball overlaps
 (those after its home; the other direction finds the same pair). Inside a leaf a smaller tree prunes on, and what it
 leaves is compared over all 64 bits, in blocks.
 
@@ -21,24 +21,29 @@ from pyspark.sql import functions as F
 
 from notemill.llm import common as C
 
-SEED, SHINGLE, RADIUS = 42, 3, 2
+SEED, SHINGLE, RADIUS, PARTS = 42, 3, 2, 2
 #: Fingerprints in a leaf on average; the sample that trees are cut by (8 bytes each on the driver); a block of comparisons.
 LEAF, SAMPLE, BLOCK = 2048, 65_536, 256
-HALVES = (0xFFFFFFFF, 0xFFFFFFFF << 32)
 
 
-def fingerprint_of(words: list[bytes]) -> list[int]:
+def parts_of(n: int) -> list[int]:
+    """Masks of n parts of 64 bits."""
+    ends = [64 * i // n for i in range(n + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(ends, ends[1:])]
+
+
+def fingerprint_of(words: list[bytes], shingle: int = SHINGLE) -> list[int]:
     """The hashes of a text's shingles."""
     if not words:
         return []
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     whole, ends, at = b" ".join(words), [], 0
     for w in words:
         at += len(w) + 1
         ends.append(at)
     h = xxhash.xxh64_intdigest
-    return [h(whole[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])]
+    return [h(whole[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :])]
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -50,10 +55,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def _prints(batches):
-    for batch in batches:
-        out = np.array([majority(np.array(fingerprint_of(t.lower().split()), "<u8")) if t else 0 for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["_row", "key", "fp"])
+def _prints(shingle: int, once: bool):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = fingerprint_of(t.lower().split(), shingle) if t else []
+                out.append(majority(np.array(sorted(set(hashes)) if once else hashes, "<u8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.uint64).view(np.int64))], ["_row", "key", "fp"])
+
+    return run
 
 
 def _far(a: np.ndarray, b, mask: int) -> np.ndarray:
@@ -104,12 +115,12 @@ def route(nodes: list[tuple], mask: int, points: np.ndarray, reach: int) -> tupl
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def placed(nodes: list[tuple], mask: int, points: np.ndarray):
-    """(point, leaf, at home) of each point's home and of the later leaves that its ball of radius 1 overlaps."""
+def placed(nodes: list[tuple], mask: int, points: np.ndarray, reach: int):
+    """(point, leaf, at home) of each point's home and of the later leaves that its ball overlaps."""
     p, home = route(nodes, mask, points, 0)
     of = np.empty(len(points), np.int64)
     of[p] = home
-    q, leaf = route(nodes, mask, points, RADIUS // 2)
+    q, leaf = route(nodes, mask, points, reach)
     keep = leaf >= of[q]
     q, leaf = q[keep], leaf[keep]
     return q, leaf, leaf == of[q]
@@ -126,64 +137,64 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def _compare(points: np.ndarray, home: np.ndarray, guest: np.ndarray, parent: np.ndarray) -> None:
-    """Unites the pairs of home with home and with guest (places in points) within RADIUS bits, over all bits."""
+def _compare(points: np.ndarray, home: np.ndarray, guest: np.ndarray, parent: np.ndarray, radius: int) -> None:
+    """Unites the pairs of home with home and with guest (places in points) within radius bits, over all bits."""
     base = points[home]
     everyone = np.concatenate([home, guest])
     for low in range(0, len(everyone), BLOCK):
         some = everyone[low : low + BLOCK]
-        i, j = np.nonzero(np.bitwise_count(points[some][:, None] ^ base[None, :]) <= RADIUS)
+        i, j = np.nonzero(np.bitwise_count(points[some][:, None] ^ base[None, :]) <= radius)
         unite(parent, some[i], home[j])
 
 
-def leaf_links(points: np.ndarray, home: np.ndarray, mask: int) -> np.ndarray:
+def leaf_links(points: np.ndarray, home: np.ndarray, mask: int, radius: int = RADIUS, parts: int = PARTS) -> np.ndarray:
     """For each point of a leaf the smallest place that its links reach; points may be in any number."""
     parent = np.arange(len(points))
     inside, outside = np.flatnonzero(home), np.flatnonzero(~home)
     nodes = plant(points[inside][:: max(1, len(inside) // SAMPLE)], mask, len(inside) / LEAF, 11) if len(inside) > 2 * LEAF else []
     if not nodes:
-        _compare(points, inside, outside, parent)
+        _compare(points, inside, outside, parent, radius)
         return parent
-    p, leaf, own = placed(nodes, mask, points[inside])
-    g, gleaf = route(nodes, mask, points[outside], RADIUS // 2)
+    p, leaf, own = placed(nodes, mask, points[inside], radius // parts)
+    g, gleaf = route(nodes, mask, points[outside], radius // parts)
     order, gorder = np.argsort(leaf, kind="stable"), np.argsort(gleaf, kind="stable")
     for k in np.unique(leaf):
         a, b = np.searchsorted(leaf[order], [k, k + 1])
         c, d = np.searchsorted(gleaf[gorder], [k, k + 1])
         some = order[a:b]
-        _compare(points, inside[p[some[own[some]]]], np.concatenate([inside[p[some[~own[some]]]], outside[g[gorder[c:d]]]]), parent)
+        _compare(points, inside[p[some[own[some]]]], np.concatenate([inside[p[some[~own[some]]]], outside[g[gorder[c:d]]]]), parent, radius)
     return parent
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, once: bool = False) -> DataFrame:
     """_row, key, fp (as a signed number) of each row."""
     kind = docs.schema[key].dataType.simpleString()
     rows = C.with_row(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("_row", "key", "text")
-    return rows.mapInArrow(_prints, f"_row bigint, key {kind}, fp bigint")
+    return rows.mapInArrow(_prints(shingle, once), f"_row bigint, key {kind}, fp bigint")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) with a > b among the distinct fingerprints of column fp; they connect what all pairs within RADIUS connect."""
-    spark = prints.sparkSession
+def links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """Links (a, b) with a > b among the distinct fingerprints of column fp; they connect what all pairs within radius connect."""
+    spark, masks, reach = prints.sparkSession, parts_of(parts), radius // parts
     n = prints.count()
     leaves = max(1.0, n / LEAF)
     # the sample: those with the smallest hashes, so the same ones whenever it is taken again
     sample = [r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, int(32 * leaves) + 1)).collect()] if leaves > 1 else []
     sample = np.array(sample, np.int64).view(np.uint64)
-    trees = spark.sparkContext.broadcast([plant(sample, mask, leaves, seed) for seed, mask in enumerate(HALVES)])
+    trees = spark.sparkContext.broadcast([plant(sample, mask, leaves, seed) for seed, mask in enumerate(masks)])
 
     def send(batches):
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
-            for t, mask in enumerate(HALVES):
-                p, leaf, own = placed(trees.value[t], mask, points)
+            for t, mask in enumerate(masks):
+                p, leaf, own = placed(trees.value[t], mask, points, reach)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(leaf, pa.int64()), pa.array(points[p].view(np.int64)), pa.array(own)], ["tree", "leaf", "fp", "home"])
 
     def solve(group: pa.Table) -> pa.Table:
         points = group.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(points.view(np.int64), kind="stable")
         points = points[order]
-        parent = leaf_links(points, group.column("home").to_numpy()[order], HALVES[group.column("tree")[0].as_py()])
+        parent = leaf_links(points, group.column("home").to_numpy()[order], masks[group.column("tree")[0].as_py()], radius, parts)
         some = np.flatnonzero(parent != np.arange(len(parent)))
         signed = points.view(np.int64)
         return pa.table({"a": signed[some], "b": signed[parent[some]]})
@@ -211,17 +222,68 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, once: bool = False, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """Per row of docs: _row, key, fingerprint (16 hex digits), component_id (smallest key that links reach), group_row (the row that stands for the component).
 
-    Words: A-Z lower-cased, cut at ASCII white space; shingles of 3 words with repeats, a shorter text whole. Null and
+    Words: A-Z lower-cased, cut at ASCII white space; shingles of `shingle` words, repeats included unless `once`, a shorter text whole.
+    Links: fingerprints that differ in `radius` bits or fewer. Null and
     empty texts have fingerprint zero and link to each other like any other. Repeated rows and keys count singly; null keys are never
     the smallest unless all are null. Rows with equal fingerprints are one point, so copies cost nothing.
     """
-    rows = C.written(fingerprints(docs, key, text), "prints")
+    rows = C.written(fingerprints(docs, key, text, shingle, once), "prints")
     points = C.written(rows.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "_row")).alias("best")), "points")
-    roots = components(links(points))
+    roots = components(links(points, radius, parts))
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("best").alias("best"))
     of = named.select("fp", "root").join(smallest, "root").select("fp", F.col("best.key").alias("component_id"), F.col("best._row").alias("group_row"))
     return rows.join(of, "fp").select("_row", F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_row")
+
+
+#: What a near copy is: the share of 5-word shingles that two texts have in common.
+COPY_WORDS, COPY_SHARE, COPY_ROUNDS = 5, 0.8, 3
+
+
+def _shingle_sets(batches):
+    for batch in batches:
+        sets = [sorted(h - (1 << 63) for h in set(fingerprint_of(t.lower().split(), COPY_WORDS))) if t else [] for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_key", "grams"])
+
+
+def _alike(batches):
+    for batch in batches:
+        same = []
+        for a, b in zip(batch.column(1), batch.column(2)):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            same.append(common >= COPY_SHARE * (len(a) + len(b) - common))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["_key", "alike"])
+
+
+def near_copies(keys: tuple[DataFrame, DataFrame], text: str = "text") -> DataFrame:
+    """_key of the rows of common.keyed() that are near copies of a row that stays.
+
+    Candidates: fingerprints of distinct single words within 7 bits, which near copies seldom miss. Of a group of candidates the smallest row stands
+    for the rest; a row goes only if it shares COPY_SHARE of their 5-word shingles with it. Those that don't stand in a group of
+    their own in the next round; what COPY_ROUNDS rounds leave, stays.
+    """
+    docs, rows = keys
+    near = near_dedup(rows, "_key", text, shingle=1, once=True, radius=7, parts=4)
+    kind = rows.schema["_key"].dataType.simpleString()
+    todo = C.written(near.where("_key <> component_id").select("_key", F.col("component_id").alias("group"), F.col("component_id").alias("best")), "near")
+    wanted = todo.select("_key").union(todo.select("best")).distinct()
+    at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
+    texts = at(rows.select("_key", F.col(text).alias("_text"))).join(at(wanted).select("_file", "_at"), ["_file", "_at"], "left_semi").select("_key", "_text")
+    sets = C.written(texts.mapInArrow(_shingle_sets, f"_key {kind}, grams array<bigint>"), "shingles")
+    gone = None
+    for _ in range(COPY_ROUNDS):
+        pairs = todo.join(sets, "_key").select("_key", F.col("best"), F.col("grams").alias("a"))
+        pairs = pairs.join(sets.select(F.col("_key").alias("best"), F.col("grams").alias("b")), "best").select("_key", "a", "b")
+        judged = C.written(pairs.mapInArrow(_alike, f"_key {kind}, alike boolean"), "judged")
+        found = judged.where("alike").select("_key")
+        gone = found if gone is None else gone.union(found)
+        left = todo.join(judged.where("not alike").select("_key"), "_key", "left_semi")
+        least = left.groupBy("group").agg(F.min("_key").alias("best"))
+        todo = C.written(left.drop("best").join(least, "group").where("_key <> best").select("_key", "group", "best"), "near")
+        if todo.isEmpty():
+            break
+    return gone

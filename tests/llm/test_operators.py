@@ -285,7 +285,7 @@ def test_a_dense_leaf_splits(monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 32)
     rng = np.random.default_rng(2)
     points = np.unique(np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)))
-    for mask in simhash.HALVES:
+    for mask in simhash.parts_of(2):
         parent = simhash.leaf_links(points, np.ones(len(points), bool), mask)
         unsplit = np.arange(len(points))
         near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
@@ -307,6 +307,25 @@ def test_near_dedup(odd, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_near_copies(spark):
+    """Edited copies go, the smallest stays, and texts that share half of their words stay."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    docs, want = [], set()
+    for g in range(20):
+        base = [word() for _ in range(300)]
+        docs.append((g * 10, " ".join(base)))
+        want.add(g * 10)
+        for c in range(1, 5):
+            copy = list(base)
+            copy[int(rng.integers(0, 300))] = word()
+            docs.append((g * 10 + c, " ".join(copy)))
+        docs.append((g * 10 + 9, " ".join(base[:150] + [word() for _ in range(150)])))
+        want.add(g * 10 + 9)
+    keys = common.keyed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    assert {r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()} == want
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
