@@ -172,8 +172,9 @@ CLEAN = r"regexp_replace(regexp_replace(text, '\x0C', ' ', 'g'), '[^\x09-\x0D\x2
 
 def _sentences(x: str) -> str:
     x = rf"regexp_replace({x}, '([0-9]+)\.([0-9]+)', '\1__DECIMAL__\2', 'g')"
-    x = rf"regexp_replace({x}, '\b([A-Z])\.', '\1__ABBR__', 'g')"
-    x = rf"regexp_replace({x}, '(?i)\b(dr|mr|mrs|ms|vs)\.', '\1__ABBR__', 'g')"
+    # what stands before is written out, as a word boundary is ASCII here; twice, as it is taken along
+    for word in ("([A-Z])", "([A-Z])", "((?i)dr|mr|mrs|ms|vs)"):
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){word}\.', '\1\2__ABBR__', 'g')"
     x = rf"string_split(regexp_replace({x}, '([.!?]){SP}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
     return rf"list_filter(list_transform({x}, lambda s: {_strip("replace(replace(s, '__DECIMAL__', '.'), '__ABBR__', '.')")}), lambda s: s <> '')"
 
