@@ -139,12 +139,15 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _compare(points: np.ndarray, home: np.ndarray, guest: np.ndarray, parent: np.ndarray, radius: int) -> None:
     """Unites the pairs of home with home and with guest (places in points) within radius bits, over all bits."""
-    base = points[home]
     everyone = np.concatenate([home, guest])
     for low in range(0, len(everyone), BLOCK):
         some = everyone[low : low + BLOCK]
-        i, j = np.nonzero(np.bitwise_count(points[some][:, None] ^ base[None, :]) <= radius)
-        unite(parent, some[i], home[j])
+        mine, theirs = parent[some], parent[home]
+        # members of the largest set so far are not compared with one another again: a dense group costs little more than its first block
+        large = np.bincount(theirs).argmax()
+        for rows, columns in ((some[mine == large], home[theirs != large]), (some[mine != large], home)):
+            i, j = np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= radius)
+            unite(parent, rows[i], columns[j])
 
 
 def leaf_links(points: np.ndarray, home: np.ndarray, mask: int, radius: int = RADIUS, parts: int = PARTS) -> np.ndarray:
