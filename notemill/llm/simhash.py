@@ -139,7 +139,7 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _compare(points: np.ndarray, home: np.ndarray, guest: np.ndarray, parent: np.ndarray, radius: int) -> None:
     """Unites the pairs of home with home and with guest (places in points) within radius bits, over all bits."""
-    everyone = np.concatenate([home, guest])
+    everyone = np.concatenate([home, guest if len(home) else home])
     for low in range(0, len(everyone), BLOCK):
         some = everyone[low : low + BLOCK]
         mine, theirs = parent[some], parent[home]
@@ -242,8 +242,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return rows.join(of, "fp").select("_row", F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_row")
 
 
-#: What a near copy is: the share of 5-word shingles that two texts have in common.
-COPY_WORDS, COPY_SHARE, COPY_ROUNDS = 5, 0.8, 3
+#: What a near copy is: the share of 5-word shingles that two texts have in common. Rows that share a rare shingle and are all compared.
+COPY_WORDS, COPY_SHARE, COPY_BUCKET = 5, 0.8, 64
 
 
 def _shingle_sets(batches):
@@ -262,31 +262,63 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["_key", "alike"])
 
 
+def _prefixes(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, _key): a row's rarest shingles in its group. Two rows that share COPY_SHARE of their shingles meet in one of them.
+
+    Of n shingles in one order for all rows, such a pair has one in common among the first n - COPY_SHARE * n + 1 of each.
+    """
+    grams = left.join(sets, "_key").select("_key", "group", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram")).fillna(0, ["gram"])
+    often = grams.groupBy("group", "gram").agg(F.count("*").alias("rows"))
+    per = grams.join(often, ["group", "gram"]).groupBy("_key", "group", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "gram"))).alias("grams"))
+    first = F.expr(f"slice(grams, 1, cast(n - ceil({COPY_SHARE} * n - 1e-9) + 1 as int))")
+    return per.select("_key", "group", F.explode(first).alias("g")).where("g.rows > 1").select(F.struct("group", "g.gram").alias("bucket"), "_key")
+
+
 def near_copies(keys: tuple[DataFrame, DataFrame], text: str = "text") -> DataFrame:
     """_key of the rows of common.keyed() that are near copies of a row that stays.
 
-    Candidates: fingerprints of distinct single words within 7 bits, which near copies seldom miss. Of a group of candidates the smallest row stands
-    for the rest; a row goes only if it shares COPY_SHARE of their 5-word shingles with it. Those that don't stand in a group of
-    their own in the next round; what COPY_ROUNDS rounds leave, stays.
+    Candidates: fingerprints of distinct single words within 7 bits, which near copies seldom miss, in groups by their links. From the
+    smallest row of a group on, a row stays unless it shares COPY_SHARE of its 5-word shingles with a smaller one of its group
+    that stays. All are compared with the smallest first; what is left is compared where it shares a shingle rare enough for such
+    a pair (_prefixes): in a bucket of more than COPY_BUCKET rows with its smallest only, until enough copies are gone,
+    then with the rest of it.
     """
     docs, rows = keys
     near = near_dedup(rows, "_key", text, shingle=1, once=True, radius=7, parts=4)
     kind = rows.schema["_key"].dataType.simpleString()
-    todo = C.written(near.where("_key <> component_id").select("_key", F.col("component_id").alias("group"), F.col("component_id").alias("best")), "near")
-    wanted = todo.select("_key").union(todo.select("best")).distinct()
+    groups = C.written(near.select("_key", F.col("component_id").alias("group")), "near")
+    groups = groups.join(groups.where("_key <> group").select("group").distinct(), "group", "left_semi")
     at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
-    texts = at(rows.select("_key", F.col(text).alias("_text"))).join(at(wanted).select("_file", "_at"), ["_file", "_at"], "left_semi").select("_key", "_text")
+    texts = at(rows.select("_key", F.col(text).alias("_text"))).join(at(groups).select("_file", "_at"), ["_file", "_at"], "left_semi").select("_key", "_text")
     sets = C.written(texts.mapInArrow(_shingle_sets, f"_key {kind}, grams array<bigint>"), "shingles")
-    gone = None
-    for _ in range(COPY_ROUNDS):
-        pairs = todo.join(sets, "_key").select("_key", F.col("best"), F.col("grams").alias("a"))
-        pairs = pairs.join(sets.select(F.col("_key").alias("best"), F.col("grams").alias("b")), "best").select("_key", "a", "b")
-        judged = C.written(pairs.mapInArrow(_alike, f"_key {kind}, alike boolean"), "judged")
-        found = judged.where("alike").select("_key")
-        gone = found if gone is None else gone.union(found)
-        left = todo.join(judged.where("not alike").select("_key"), "_key", "left_semi")
-        least = left.groupBy("group").agg(F.min("_key").alias("best"))
-        todo = C.written(left.drop("best").join(least, "group").where("_key <> best").select("_key", "group", "best"), "near")
-        if todo.isEmpty():
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (_key, best) that are near copies."""
+        pairs = pairs.join(sets.select("_key", F.col("grams").alias("a")), "_key").join(sets.select(F.col("_key").alias("best"), F.col("grams").alias("b")), "best")
+        judged = pairs.select(F.struct("_key", "best").alias("_key"), "a", "b").mapInArrow(_alike, f"_key struct<_key:{kind},best:{kind}>, alike boolean")
+        return C.written(judged.where("alike").select("_key.*"), "copies")
+
+    def settle(headed: DataFrame, check) -> tuple[DataFrame, DataFrame]:
+        """(rows that stay for sure, being the smallest wherever they are; copies of theirs). headed: _key, best."""
+        stay = C.written(headed.groupBy("_key").agg(F.bool_and(F.col("_key") == F.col("best")).alias("sure")).where("sure").select("_key"), "stay")
+        pairs = headed.where("_key <> best").join(stay.select(F.col("_key").alias("best")), "best", "left_semi")
+        return stay, C.written(check(pairs).select("_key").distinct(), "gone")
+
+    stay, gone = settle(groups.select("_key", F.col("group").alias("best")), alike)
+    entries = C.written(_prefixes(groups.join(stay.union(gone), "_key", "left_anti"), sets), "buckets")
+    while True:
+        sized = C.written(entries.groupBy("bucket").agg(F.min("_key").alias("best"), F.count("*").alias("n")).where("n > 1"), "sizes")
+        if sized.where(F.col("n") > COPY_BUCKET).isEmpty():
             break
+        stay, more = settle(C.written(entries.join(sized, "bucket").select("_key", "best").distinct(), "heads"), alike)
+        gone = gone.union(more)
+        entries = C.written(entries.join(stay.union(more), "_key", "left_anti"), "buckets")
+    small = entries.join(sized.select("bucket"), "bucket")
+    links = alike(small.join(small.select("bucket", F.col("_key").alias("best")), "bucket").where("best < _key").select("_key", "best").distinct())
+    while not links.isEmpty():
+        own = links.select(F.col("best").alias("_key"), "best").distinct()
+        stay, more = settle(links.union(own), lambda pairs: pairs)
+        gone = gone.union(more)
+        done = stay.union(more)
+        links = C.written(links.join(done, "_key", "left_anti").join(done.select(F.col("_key").alias("best")), "best", "left_anti").select("_key", "best"), "copies")
     return gone

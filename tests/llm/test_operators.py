@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notemill.llm import bpe, common, decontaminate, exact_dedup, hilbert, lines, quality, secrets, simhash, token_files, urls
@@ -326,6 +327,30 @@ def test_near_copies(spark):
     assert {r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()} == want
 
 
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_near_copies_of_every_kind_in_one_group(spark, monkeypatch, bucket):
+    """A chain of edits in one group against brute force: a row goes if and only if it is alike to a smaller row that stays."""
+    monkeypatch.setattr(simhash, "COPY_BUCKET", bucket)
+    monkeypatch.setattr(simhash, "near_dedup", lambda rows, *a, **k: rows.select("_key", F.min("_key").over(Window.partitionBy(F.lit(1))).alias("component_id")))
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = [[word() for _ in range(150)]]
+    for _ in range(60):
+        old = list(texts[int(rng.integers(0, len(texts)))])
+        for _ in range(int(rng.integers(1, 5))):
+            old[int(rng.integers(0, 150))] = word()
+        texts.append(old)
+    sets = [{tuple(t[i : i + 5]) for i in range(146)} for t in texts]
+    stay = []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in stay):
+            stay.append(i)
+    assert 3 < len(stay) < 55
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    keys = common.keyed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    assert sorted(r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()) == stay
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
