@@ -243,7 +243,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 #: What a near copy is: the share of 5-word shingles that two texts have in common. Rows that share a rare shingle and are all compared.
-COPY_WORDS, COPY_SHARE, COPY_BUCKET = 5, 0.8, 64
+COPY_WORDS, COPY_SHARE, COPY_BUCKET = 5, 0.8, 1024
 
 
 def _shingle_sets(batches):
