@@ -244,14 +244,40 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 #: What a near copy is: the share of 5-word shingles that two texts have in common. Rows that share a rare shingle and are all compared.
 COPY_WORDS, COPY_SHARE, COPY_BUCKET = 5, 0.8, 1024
+#: Rows whose shingles say on average which ones are frequent, and how many of those are kept. They give the order of shingles only, never the result.
+OFTEN_ROWS, OFTEN = 8192, 1 << 17
+
+
+def _shingles(text: bytes | None) -> np.ndarray:
+    return np.array(sorted(h - (1 << 63) for h in set(fingerprint_of(text.lower().split(), COPY_WORDS))) if text else [], np.int64)
 
 
 def _shingle_sets(batches):
     for batch in batches:
-        sets = [sorted(h - (1 << 63) for h in set(fingerprint_of(t.lower().split(), COPY_WORDS))) if t else [] for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        sets = [_shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_key", "grams"])
 
 
+def _first_shingles(often):
+    """A row's first shingles in the order (frequency in the sample, hash); a row without any counts as having shingle 0."""
+
+    def run(batches):
+        grams, counts = often.value
+        for batch in batches:
+            first, sizes = [], []
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                own = _shingles(t)
+                n = len(own)
+                if len(grams):
+                    at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                    own = own[np.lexsort((own, np.where(grams[at] == own, counts[at], 0)))]
+                first.append(own[: n - int(np.ceil(COPY_SHARE * n - 1e-9)) + 1] if n else np.zeros(1, np.int64))
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["_row", "_key", "n", "grams"])
+
+    return run
+
+
 def _alike(batches):
     for batch in batches:
         same = []
@@ -262,34 +288,61 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["_key", "alike"])
 
 
-def _prefixes(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """(bucket, _key): a row's rarest shingles in its group. Two rows that share COPY_SHARE of their shingles meet in one of them.
+def _often(rows: DataFrame, text: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of rows, sorted, and their counts there."""
+    share = min(1.0, OFTEN_ROWS / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("_key", text)
+    found = some.mapInArrow(_shingle_sets, f"_key {kind}, grams array<bigint>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows"))
+    top = found.where("rows > 2").orderBy(F.desc("rows"), "gram").limit(OFTEN).toArrow()
+    grams, counts = top.column("gram").to_numpy(), top.column("rows").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
+def _prefixes(rows: DataFrame, text: str, kind: str) -> DataFrame:
+    """(bucket, _row, n, _key): the first shingles of each row that another row has among its first ones as well.
+
+    Of n shingles in one order for all rows, two rows that share COPY_SHARE of theirs have one in common among the first n - COPY_SHARE * n + 1
+    of each, whatever the order is; frequent ones come last so that buckets stay small.
+    """
+    often = rows.sparkSession.sparkContext.broadcast(_often(rows, text, kind))
+    firsts = C.with_row(rows.select("_key", text)).select("_row", "_key", text).mapInArrow(_first_shingles(often), f"_row bigint, _key {kind}, n bigint, grams array<bigint>")
+    firsts = C.written(firsts, "firsts")
+    each = firsts.select("_row", "n", F.explode("grams").alias("bucket"))
+    met = each.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
+    return C.written(each.join(met, "bucket").join(firsts.select("_row", "_key"), "_row").select("bucket", "_row", "n", "_key"), "buckets")
+
 
-    Of n shingles in one order for all rows, such a pair has one in common among the first n - COPY_SHARE * n + 1 of each.
+def _pairs(entries: DataFrame) -> DataFrame:
+    """Pairs (_key, best) of rows that meet in a bucket and could share COPY_SHARE of their shingles by what is known without the texts.
+
+    Of the row whose first shingles end earlier in the order, all the others are ceil(COPY_SHARE * n) - 1; the pair has no more in common than these
+    and the buckets that it meets in. entries must hold all buckets of its rows.
     """
-    grams = left.join(sets, "_key").select("_key", "group", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram")).fillna(0, ["gram"])
-    often = grams.groupBy("group", "gram").agg(F.count("*").alias("rows"))
-    per = grams.join(often, ["group", "gram"]).groupBy("_key", "group", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "gram"))).alias("grams"))
-    first = F.expr(f"slice(grams, 1, cast(n - ceil({COPY_SHARE} * n - 1e-9) + 1 as int))")
-    return per.select("_key", "group", F.explode(first).alias("g")).where("g.rows > 1").select(F.struct("group", "g.gram").alias("bucket"), "_key")
+    need = lambda x: F.ceil(x - 1e-6)
+    a, b = F.col("n"), F.col("m")
+    meet = entries.select("bucket", "_row", "n").join(entries.select("bucket", F.col("_row").alias("_other"), F.col("n").alias("m")), "bucket")
+    meet = meet.where((F.col("_row") < F.col("_other")) & (F.least(a, b) >= COPY_SHARE * F.greatest(a, b) - 1e-6)).groupBy("_row", "_other", "n", "m").agg(F.count("*").alias("common"))
+    could = meet.where(F.col("common") + need(COPY_SHARE * F.greatest(a, b)) - 1 >= need(COPY_SHARE / (1 + COPY_SHARE) * (a + b)))
+    keys = entries.select("_row", "_key").distinct()
+    could = could.join(keys.withColumnRenamed("_key", "x"), "_row").join(keys.select(F.col("_row").alias("_other"), F.col("_key").alias("y")), "_other")
+    return could.select(F.greatest("x", "y").alias("_key"), F.least("x", "y").alias("best"))
 
 
 def near_copies(keys: tuple[DataFrame, DataFrame], text: str = "text") -> DataFrame:
     """_key of the rows of common.keyed() that are near copies of a row that stays.
 
-    Candidates: fingerprints of distinct single words within 7 bits, which near copies seldom miss, in groups by their links. From the
-    smallest row of a group on, a row stays unless it shares COPY_SHARE of its 5-word shingles with a smaller one of its group
-    that stays. All are compared with the smallest first; what is left is compared where it shares a shingle rare enough for such
-    a pair (_prefixes): in a bucket of more than COPY_BUCKET rows with its smallest only, until enough copies are gone,
-    then with the rest of it.
+    From the smallest row on, a row stays unless it shares COPY_SHARE of its 5-word shingles with a smaller one that stays. Rows that
+    do meet in a bucket of _prefixes(), so no pair is missed. A row that is the smallest in all its buckets stays. The trees deal out a first
+    pass: the rows of a fingerprint group are compared with its smallest, where that stays, so large groups of copies are gone before
+    buckets are compared. In a bucket of more than COPY_BUCKET rows all are compared with its smallest only, until enough copies are
+    gone, then with the rest of it.
     """
     docs, rows = keys
-    near = near_dedup(rows, "_key", text, shingle=1, once=True, radius=7, parts=4)
     kind = rows.schema["_key"].dataType.simpleString()
-    groups = C.written(near.select("_key", F.col("component_id").alias("group")), "near")
-    groups = groups.join(groups.where("_key <> group").select("group").distinct(), "group", "left_semi")
+    entries = _prefixes(rows, text, kind)
     at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
-    texts = at(rows.select("_key", F.col(text).alias("_text"))).join(at(groups).select("_file", "_at"), ["_file", "_at"], "left_semi").select("_key", "_text")
+    texts = at(rows.select("_key", F.col(text).alias("_text"))).join(at(entries.select("_key").distinct()).select("_file", "_at"), ["_file", "_at"], "left_semi").select("_key", "_text")
     sets = C.written(texts.mapInArrow(_shingle_sets, f"_key {kind}, grams array<bigint>"), "shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -298,23 +351,29 @@ def near_copies(keys: tuple[DataFrame, DataFrame], text: str = "text") -> DataFr
         judged = pairs.select(F.struct("_key", "best").alias("_key"), "a", "b").mapInArrow(_alike, f"_key struct<_key:{kind},best:{kind}>, alike boolean")
         return C.written(judged.where("alike").select("_key.*"), "copies")
 
+    def sure(headed: DataFrame) -> DataFrame:
+        """Rows that stay for sure, being the smallest wherever they are. headed: _key, best."""
+        return C.written(headed.groupBy("_key").agg(F.bool_and(F.col("_key") == F.col("best")).alias("sure")).where("sure").select("_key"), "stay")
+
     def settle(headed: DataFrame, check) -> tuple[DataFrame, DataFrame]:
-        """(rows that stay for sure, being the smallest wherever they are; copies of theirs). headed: _key, best."""
-        stay = C.written(headed.groupBy("_key").agg(F.bool_and(F.col("_key") == F.col("best")).alias("sure")).where("sure").select("_key"), "stay")
+        """(rows that stay for sure; copies of theirs)."""
+        stay = sure(headed)
         pairs = headed.where("_key <> best").join(stay.select(F.col("_key").alias("best")), "best", "left_semi")
         return stay, C.written(check(pairs).select("_key").distinct(), "gone")
 
-    stay, gone = settle(groups.select("_key", F.col("group").alias("best")), alike)
-    entries = C.written(_prefixes(groups.join(stay.union(gone), "_key", "left_anti"), sets), "buckets")
+    sized = entries.groupBy("bucket").agg(F.min("_key").alias("best"))
+    stay = sure(entries.join(sized, "bucket"))
+    near = near_dedup(rows, "_key", text, shingle=1, once=True).where("_key <> component_id").select("_key", F.col("component_id").alias("best"))
+    gone = C.written(alike(near.join(stay.select(F.col("_key").alias("best")), "best", "left_semi")).select("_key").distinct(), "gone")
+    entries = C.written(entries.join(gone, "_key", "left_anti"), "buckets")
     while True:
-        sized = C.written(entries.groupBy("bucket").agg(F.min("_key").alias("best"), F.count("*").alias("n")).where("n > 1"), "sizes")
-        if sized.where(F.col("n") > COPY_BUCKET).isEmpty():
+        sized = C.written(entries.groupBy("bucket").agg(F.min("_key").alias("best"), F.count("*").alias("n")).where("n > 1").select("bucket", "best", F.col("n").alias("rows")), "sizes")
+        if sized.where(F.col("rows") > COPY_BUCKET).isEmpty():
             break
         stay, more = settle(C.written(entries.join(sized, "bucket").select("_key", "best").distinct(), "heads"), alike)
         gone = gone.union(more)
         entries = C.written(entries.join(stay.union(more), "_key", "left_anti"), "buckets")
-    small = entries.join(sized.select("bucket"), "bucket")
-    links = alike(small.join(small.select("bucket", F.col("_key").alias("best")), "bucket").where("best < _key").select("_key", "best").distinct())
+    links = alike(_pairs(entries.join(sized.select("bucket"), "bucket")))
     while not links.isEmpty():
         own = links.select(F.col("best").alias("_key"), "best").distinct()
         stay, more = settle(links.union(own), lambda pairs: pairs)

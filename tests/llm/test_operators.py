@@ -351,6 +351,28 @@ def test_near_copies_of_every_kind_in_one_group(spark, monkeypatch, bucket):
     assert sorted(r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()) == stay
 
 
+def test_near_copies_cut_extended_and_inserted(spark):
+    """Copies with passages cut off, appended or put in, and words replaced, against brute force: whole stage, every pair."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(int(rng.integers(60, 300)))]
+        n = len(base)
+        spot, k = int(rng.integers(0, n)), int(n * rng.uniform(0.08, 0.24))
+        other = [word() for _ in range(k)]
+        texts += [base, base[: n - k], base[k:], base + other, base[:spot] + other + base[spot:], [word() if i == spot else w for i, w in enumerate(base)]]
+    texts = [texts[i] for i in rng.permutation(len(texts))] + [[], ["one"], ["one", "two"]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    stay = []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in stay):
+            stay.append(i)
+    assert 50 < len(stay) < 200
+    keys = common.keyed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3))
+    assert sorted(r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()) == stay
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
