@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by pairs of neighbouring lines.
 
-A text's lines are hashed, and a chunk ends after a line where a rolling hash over the last two line hashes falls on a
-multiple; so boundaries depend on the lines around them alone, and an inserted or removed line moves no later one. Chunks
-of two lines or more that come again anywhere are duplicates of their first occurrence (smallest key, then place) once their
-bytes are found equal; they are removed from every later place. Single lines and chunks under a number of words stay.
+Every two lines with words that follow each other (with what blank lines stand between) are hashed, so anchors depend on the
+lines themselves alone, and an inserted or removed line touches only its own. Pairs that come again anywhere are duplicates of
+their first occurrence (smallest key, then place) once their bytes are found equal. A repeated passage is a run of such
+pairs, so it goes as a whole from every later place, whatever stands around it. Single lines and runs under a number of words stay.
 """
 
 from __future__ import annotations
@@ -16,39 +16,12 @@ from pyspark.sql import functions as F
 
 from notemill.llm import common as C
 
-#: A chunk has DIVISOR lines on average, MAX_LINES at most, and is removed only if it has MIN_LINES and MIN_WORDS.
-DIVISOR, MAX_LINES, MIN_LINES, MIN_WORDS = 3, 16, 2, 10
+#: A run is removed only if it has MIN_LINES lines with words and MIN_WORDS words.
+MIN_LINES, MIN_WORDS = 2, 10
 
 
-def chunk_ends(lines: list[bytes]) -> list[int]:
-    """Where chunks end: after these many lines; lines without words join the chunk before."""
-    n = len(lines)
-    hashes = np.array([hash_line(x) for x in lines], np.uint64)
-    rolled = C.mix(hashes[1:] + np.uint64(3) * hashes[:-1]) % np.uint64(DIVISOR) == 0
-    ends, begin = [], 0
-    for i in (np.flatnonzero(rolled) + 2).tolist():
-        if i - begin < MIN_LINES:
-            continue
-        while i - begin > MAX_LINES:
-            begin += MAX_LINES
-            ends.append(begin)
-        if i > begin:
-            ends.append(i)
-            begin = i
-    while n - begin > MAX_LINES:
-        begin += MAX_LINES
-        ends.append(begin)
-    if n > begin:
-        ends.append(n)
-    return ends
-
-
-def hash_line(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line.strip())
-
-
-_CHUNKS = pa.list_(pa.struct([("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("words", pa.int32()), ("h", pa.int64())]))
-CHUNKS = "array<struct<place:int,low:int,high:int,words:int,h:bigint>>"
+_CHUNKS = pa.list_(pa.struct([("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("h", pa.int64())]))
+CHUNKS = "array<struct<place:int,low:int,high:int,h:bigint>>"
 
 
 def _chunked(batches):
@@ -56,22 +29,43 @@ def _chunked(batches):
         found, counts = [], []
         for t in batch.column(2).cast(pa.binary()).to_pylist():
             lines = t.split(b"\n") if t else []
-            out, low = [], 0
-            for place, high in enumerate(chunk_ends(lines)):
-                body = b"\n".join(lines[low:high])
-                words = len(body.split())
-                if high - low >= MIN_LINES and words >= MIN_WORDS:
-                    out.append({"place": place, "low": low, "high": high, "words": words, "h": xxhash.xxh64_intdigest(body) - (1 << 63)})
-                low = high
+            solid = [i for i, line in enumerate(lines) if line.strip()]
+            out = [{"place": i, "low": i, "high": j + 1, "h": xxhash.xxh64_intdigest(b"\n".join(lines[i : j + 1])) - (1 << 63)} for i, j in zip(solid, solid[1:])]
             found.append(out)
             counts.append(len(lines))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(found, _CHUNKS)], ["_row", "key", "text", "n_lines", "chunks"])
 
 
+def _runs(batches):
+    """Merges a row's repeated pairs to runs of lines [low, high) and takes these out; lines of a first occurrence stay."""
+    for batch in batches:
+        removed, kept = [], []
+        for t, marks in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            lines, out = t.split(b"\n"), []
+            gone = np.zeros(len(lines) + 1, bool)
+            for stays in (False, True):
+                for m in marks or []:
+                    if m["stays"] == stays:
+                        gone[m["low"] : m["high"]] = not stays
+            edges = np.flatnonzero(gone[:-1] != np.concatenate([[False], gone[:-1]])[:-1]).tolist() if marks else []
+            for low, high in zip(edges[::2], [*edges[1::2], len(lines)]):
+                solid = [n for line in lines[low:high] if (n := len(line.split()))]
+                if len(solid) >= MIN_LINES and sum(solid) >= MIN_WORDS:
+                    out.append({"place": low, "low": low, "high": high})
+            for r in reversed(out):
+                del lines[r["low"] : r["high"]]
+            removed.append(out)
+            kept.append(b"\n".join(lines))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, _REMOVED), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_lines", "removed", "text"])
+
+
+_REMOVED = pa.list_(pa.struct([("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: key, n_lines, removed (chunks as place, low, high: lines [low, high) go), text (what stays).
+    """Per row of docs: key, n_lines, removed (runs as place, low, high: lines [low, high) go), text (what stays).
 
-    Lines are what stands between newlines. Chunks are equal if their bytes are. The first occurrence stays: that of the smallest key (null keys last),
+    Lines are what stands between newlines. Pairs are equal if their bytes are. The first occurrence stays: that of the smallest key (null keys last),
     of repeated rows the first read, in a row the first. Null and empty texts have no lines and stay empty. A text that is wholly repeated becomes
     empty. Other columns are ignored.
     """
@@ -95,12 +89,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         marked = marked.join(clash, "h", "left_anti")
         per = marked.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("low", "high", "place", "h", "stays"))).alias("marks"))
         texts = rows.select("_row", "key", "text", "n_lines").join(per, "_row", "left")
-    gone = F.filter("marks", lambda m: ~m.stays)
-    kept = F.expr("array_join(filter(transform(split(text, '\\n', -1), (l, i) -> if(exists(gone, m -> i >= m.low and i < m.high), null, l)), l -> l is not null), '\\n')")
-    out = texts.withColumn("gone", F.coalesce(gone, F.expr("cast(array() as array<struct<low:int,high:int,place:int,h:bigint,stays:boolean>>)")))
-    return out.select(
-        F.col("key").alias(key),
-        "n_lines",
-        F.transform("gone", lambda m: F.struct(m.place.alias("place"), m.low.alias("low"), m.high.alias("high"))).alias("removed"),
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(kept).alias("text"),
-    )
+    out = texts.select("key", "n_lines", "text", "marks").mapInArrow(_runs, f"key {kind}, n_lines bigint, removed array<struct<place:int,low:int,high:int>>, text string")
+    return out.withColumnRenamed("key", key)

@@ -228,6 +228,28 @@ def test_line_dedup(spark, odd, empty):
     assert lines.dedup_lines(odd).count() == odd.count() and lines.dedup_lines(empty).count() == 0
 
 
+def test_short_passages_go_whole(spark):
+    """Passages of 2 to 6 lines among lines of their own: they go whole from every later text, and nothing else goes."""
+    rng = np.random.default_rng(8)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30))
+    docs, want = [], {}
+    for p in range(30):
+        passage = [line() for _ in range(2 + p % 5)]
+        if p % 3 == 0:
+            passage.insert(1, "")
+        for c in range(3):
+            before = [line() for _ in range(int(rng.integers(0, 4)))]
+            docs.append((p * 3 + c, "\n".join(before + passage + [line() for _ in range(int(rng.integers(0, 4)))])))
+            want[p * 3 + c] = set(range(len(before), len(before) + len(passage))) if c else set()
+    same = line()
+    docs += [(1000 + i, f"{line()}\n{same}\n\n{line()}") for i in range(3)] + [(2000, "\n".join([same] * 4))]
+    got = {r["doc_id"]: r for r in collect(lines.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")))}
+    for i, text in docs:
+        gone = {x for r in got[i]["removed"] for x in range(r["low"], r["high"])}
+        assert gone == (want.get(i, set()) if i < 2000 else {2, 3})
+        assert got[i]["text"] == "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone)
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("dims", [1, 2, 3])
 def test_curve_visits_neighbours(spark, dims):
