@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,11 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests on one machine), below a local one."""
+    """A new folder below spark.checkpoint.dir, which all executors must see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.gettempdir() + "/notemill-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -39,24 +37,34 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(docs, docs with _key): _key orders rows by key, nulls last, and tells repeated rows apart by file and place.
+class Keyed:
+    """docs with names and keys of its own: `rows` has _key, key, text and every column of docs as c0, c1, ... (so no name of docs is in the way).
 
-    Rows that don't come straight from files are written first, so that the places are the same each time.
+    _key orders rows by key, nulls last, and tells repeated rows apart by file and place. Rows that don't come straight
+    from files are written first, so that the places are the same each time.
     """
-    try:
-        place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")]
-        docs.select(*place)
-    except AnalysisException:
-        docs = written(docs, "rows")
-    return docs, docs.withColumn("_key", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), *place))
-
-
-def chosen(keys: tuple[DataFrame, DataFrame], kept: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of keyed() whose _key is in kept (or, for left_anti, is not)."""
-    docs, rows = keys
-    at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
-    return at(rows).join(at(kept.select("_key")).select("_file", "_at"), ["_file", "_at"], how).select(*docs.columns)
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text"):
+        self.columns = docs.columns
+        plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.columns)]
+        # the path as 16 bytes: equal names in different folders stay apart
+        place = [F.unhex(F.md5(F.col("_metadata.file_path"))).alias("file"), F.col("_metadata.row_index").alias("at")]
+        try:
+            rows = docs.select(*plain, F.struct(*place).alias("place"))
+        except AnalysisException:
+            rows = written(docs.select(*plain), "rows").select("*", F.struct(*place).alias("place"))
+        k, t = (F.col(f"c{self.columns.index(c)}") for c in (key, text))
+        self.rows = rows.select(F.struct(k.isNull().alias("none"), k.alias("key"), "place.file", "place.at").alias("_key"), k.alias("key"), t.alias("text"), *[f"c{i}" for i in range(len(self.columns))])
+
+    def chosen(self, kept: DataFrame, how: str = "left_semi") -> DataFrame:
+        """The rows of docs whose _key is in kept (or, for left_anti, is not)."""
+        at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
+        out = at(self.rows).join(at(kept.select("_key")).select("_file", "_at"), ["_file", "_at"], how)
+        return self.plain(out)
+
+    def plain(self, rows: DataFrame) -> DataFrame:
+        """rows with the columns of docs, under their names."""
+        return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(self.columns)])
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):

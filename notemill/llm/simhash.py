@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import common as C
@@ -242,142 +242,219 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return rows.join(of, "fp").select("_row", F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_row")
 
 
-#: What a near copy is: the share of 5-word shingles that two texts have in common. Rows that share a rare shingle and are all compared.
-COPY_WORDS, COPY_SHARE, COPY_BUCKET = 5, 0.8, 1024
+#: What a near copy is: the share of 5-word shingles that two texts have in common.
+COPY_WORDS, COPY_SHARE = 5, 0.8
+#: Rows and shingles of a block on average: what one task compares at once.
+COPY_ROWS, COPY_GRAMS = 4096, 1 << 22
 #: Rows whose shingles say on average which ones are frequent, and how many of those are kept. They give the order of shingles only, never the result.
 OFTEN_ROWS, OFTEN = 8192, 1 << 17
 
 
-def _shingles(text: bytes | None) -> np.ndarray:
-    return np.array(sorted(h - (1 << 63) for h in set(fingerprint_of(text.lower().split(), COPY_WORDS))) if text else [], np.int64)
+def shingle_sets(column: pa.Array):
+    """(first row, last row + 1, owner, gram) for runs of texts: each text's distinct shingle hashes in order; a shorter text is one shingle, one without words has none."""
+    for low, high, data, offsets in C.text_chunks(column):
+        words = C.Words(data, offsets, solid=True)
+        hashes, first, counts = words.hashes(), words.first, words.counts
+        grams = C.gram_hashes(hashes, COPY_WORDS)
+        owner = np.repeat(np.arange(high - low), counts)
+        whole = np.flatnonzero(owner[: len(grams)] == owner[COPY_WORDS - 1 :][: len(grams)]) if len(grams) else np.zeros(0, np.int64)
+        short = np.flatnonzero((counts > 0) & (counts < COPY_WORDS))
+        less = [C.gram_hashes(hashes[first[i] : first[i + 1]], int(counts[i])) for i in short]
+        owner = np.concatenate([owner[whole], short])
+        gram = np.concatenate([grams[whole], *less]).view(np.int64)
+        order = np.lexsort((gram, owner))
+        owner, gram = owner[order], gram[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+        yield low, high, owner[new], gram[new]
+
+
+def _ends(owner: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
 
 
 def _shingle_sets(batches):
     for batch in batches:
-        sets = [_shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_key", "grams"])
+        for low, high, owner, gram in shingle_sets(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(_ends(owner, high - low)), pa.array(gram))], ["_row", "grams"])
+
+
+def _need(x: np.ndarray) -> np.ndarray:
+    return np.ceil(x - 1e-9).astype(np.int64)
 
 
 def _first_shingles(often):
     """A row's first shingles in the order (frequency in the sample, hash); a row without any counts as having shingle 0."""
 
     def run(batches):
-        grams, counts = often.value
+        known, counts = often.value
         for batch in batches:
-            first, sizes = [], []
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                own = _shingles(t)
-                n = len(own)
-                if len(grams):
-                    at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                    own = own[np.lexsort((own, np.where(grams[at] == own, counts[at], 0)))]
-                first.append(own[: n - int(np.ceil(COPY_SHARE * n - 1e-9)) + 1] if n else np.zeros(1, np.int64))
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["_row", "_key", "n", "grams"])
+            for low, high, owner, gram in shingle_sets(batch.column(2)):
+                size = np.bincount(owner, minlength=high - low)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                    order = np.lexsort((gram, np.where(known[at] == gram, counts[at], 0), owner))
+                    owner, gram = owner[order], gram[order]
+                place = np.arange(len(owner)) - _ends(owner, high - low)[:-1][owner]
+                first = place < (size - _need(COPY_SHARE * size) + 1)[owner]
+                none = np.flatnonzero(size == 0)
+                owner, gram = np.concatenate([owner[first], none]), np.concatenate([gram[first], np.zeros(len(none), np.int64)])
+                order = np.argsort(owner, kind="stable")
+                lists = pa.ListArray.from_arrays(pa.array(_ends(owner[order], high - low)), pa.array(gram[order]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in (0, 1)), pa.array(size, pa.int64()), lists], ["_row", "_key", "n", "grams"])
 
     return run
 
 
-def _alike(batches):
-    for batch in batches:
-        same = []
-        for a, b in zip(batch.column(1), batch.column(2)):
-            a, b = a.values.to_numpy(), b.values.to_numpy()
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            same.append(common >= COPY_SHARE * (len(a) + len(b) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["_key", "alike"])
-
-
-def _often(rows: DataFrame, text: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample of rows, sorted, and their counts there."""
     share = min(1.0, OFTEN_ROWS / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("_key", text)
-    found = some.mapInArrow(_shingle_sets, f"_key {kind}, grams array<bigint>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows"))
+    some = rows.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.lit(0).cast("bigint").alias("_row"), "text")
+    found = some.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows"))
     top = found.where("rows > 2").orderBy(F.desc("rows"), "gram").limit(OFTEN).toArrow()
     grams, counts = top.column("gram").to_numpy(), top.column("rows").to_numpy()
     order = np.argsort(grams)
     return grams[order], counts[order]
 
 
-def _prefixes(rows: DataFrame, text: str, kind: str) -> DataFrame:
-    """(bucket, _row, n, _key): the first shingles of each row that another row has among its first ones as well.
+def _could(common, n, m) -> Column:
+    """Whether texts of n and m shingles, of which the first ones have `common` in common, can share COPY_SHARE.
 
-    Of n shingles in one order for all rows, two rows that share COPY_SHARE of theirs have one in common among the first n - COPY_SHARE * n + 1
-    of each, whatever the order is; frequent ones come last so that buckets stay small.
-    """
-    often = rows.sparkSession.sparkContext.broadcast(_often(rows, text, kind))
-    firsts = C.with_row(rows.select("_key", text)).select("_row", "_key", text).mapInArrow(_first_shingles(often), f"_row bigint, _key {kind}, n bigint, grams array<bigint>")
-    firsts = C.written(firsts, "firsts")
-    each = firsts.select("_row", "n", F.explode("grams").alias("bucket"))
-    met = each.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
-    return C.written(each.join(met, "bucket").join(firsts.select("_row", "_key"), "_row").select("bucket", "_row", "n", "_key"), "buckets")
-
-
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Pairs (_key, best) of rows that meet in a bucket and could share COPY_SHARE of their shingles by what is known without the texts.
-
-    Of the row whose first shingles end earlier in the order, all the others are ceil(COPY_SHARE * n) - 1; the pair has no more in common than these
-    and the buckets that it meets in. entries must hold all buckets of its rows.
+    Of the one whose first shingles end earlier in the order, all the others are ceil(COPY_SHARE * n) - 1.
     """
     need = lambda x: F.ceil(x - 1e-6)
-    a, b = F.col("n"), F.col("m")
-    meet = entries.select("bucket", "_row", "n").join(entries.select("bucket", F.col("_row").alias("_other"), F.col("n").alias("m")), "bucket")
-    meet = meet.where((F.col("_row") < F.col("_other")) & (F.least(a, b) >= COPY_SHARE * F.greatest(a, b) - 1e-6)).groupBy("_row", "_other", "n", "m").agg(F.count("*").alias("common"))
-    could = meet.where(F.col("common") + need(COPY_SHARE * F.greatest(a, b)) - 1 >= need(COPY_SHARE / (1 + COPY_SHARE) * (a + b)))
-    keys = entries.select("_row", "_key").distinct()
-    could = could.join(keys.withColumnRenamed("_key", "x"), "_row").join(keys.select(F.col("_row").alias("_other"), F.col("_key").alias("y")), "_other")
-    return could.select(F.greatest("x", "y").alias("_key"), F.least("x", "y").alias("best"))
-
-
-def near_copies(keys: tuple[DataFrame, DataFrame], text: str = "text") -> DataFrame:
-    """_key of the rows of common.keyed() that are near copies of a row that stays.
-
-    From the smallest row on, a row stays unless it shares COPY_SHARE of its 5-word shingles with a smaller one that stays. Rows that
-    do meet in a bucket of _prefixes(), so no pair is missed. A row that is the smallest in all its buckets stays. The trees deal out a first
-    pass: the rows of a fingerprint group are compared with its smallest, where that stays, so large groups of copies are gone before
-    buckets are compared. In a bucket of more than COPY_BUCKET rows all are compared with its smallest only, until enough copies are
-    gone, then with the rest of it.
+    near = F.least(n, m) >= COPY_SHARE * F.greatest(n, m) - 1e-6
+    return near & (common + need(COPY_SHARE * F.greatest(n, m)) - 1 >= need(COPY_SHARE / (1 + COPY_SHARE) * (n + m)))
+
+
+def linked(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """For each of some rows (their shingle sets one after the other) the smallest row that it is linked to, over others too."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(grams, kind="stable")
+    gram, at = grams[order], owner[order]
+    start = np.searchsorted(gram, gram)  # of each shingle's run of rows
+    stop = np.searchsorted(gram, gram, "right")
+    mine, lows, highs = [np.empty(len(order), np.int64) for _ in range(3)]
+    mine[order], lows[order], highs[order] = stop - start, start, stop
+    ends, root = np.concatenate([[0], np.cumsum(sizes)]), np.full(n, -1)
+    for seed in range(n):
+        if root[seed] >= 0:
+            continue
+        root[seed], todo = seed, [seed]
+        while todo:
+            i = todo.pop()
+            own = slice(ends[i], ends[i + 1])
+            some = mine[own] > 1
+            low, high = lows[own][some], highs[own][some]
+            length = high - low
+            places = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(length) else np.zeros(0, np.int64)
+            common = np.bincount(at[places], minlength=n)
+            alike = np.flatnonzero((common >= COPY_SHARE * (sizes[i] + sizes - common) - 1e-9) & (root < 0))
+            root[alike] = seed
+            todo += alike.tolist()
+    return root
+
+
+def _links(group: pa.Table) -> pa.Table:
+    """(a, b): the rows of a block and the smallest that each is tied to."""
+    group = group.combine_chunks().sort_by([("none", "ascending"), ("key", "ascending"), ("file", "ascending"), ("at", "ascending")])
+    lists = group.column("grams").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    root = linked(lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy())
+    some = pa.array(np.flatnonzero(root != np.arange(len(root))))
+    row = group.column("_row")
+    return pa.table({"a": row.take(some), "b": row.take(pa.array(root).take(some))})
+
+
+def _settled(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links a, b within families; _row, family, block of each row). live: _row, family, n and the parts of the key.
+
+    A family is cut into blocks of bounded size, each compared whole; what stays is dealt to new blocks, until a family is one block or
+    hardly anything goes any more. block is where a row was last compared, -1 for one that went in a family of several blocks.
     """
-    docs, rows = keys
-    kind = rows.schema["_key"].dataType.simpleString()
-    entries = _prefixes(rows, text, kind)
-    at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})
-    texts = at(rows.select("_key", F.col(text).alias("_text"))).join(at(entries.select("_key").distinct()).select("_file", "_at"), ["_file", "_at"], "left_semi").select("_key", "_text")
-    sets = C.written(texts.mapInArrow(_shingle_sets, f"_key {kind}, grams array<bigint>"), "shingles")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (_key, best) that are near copies."""
-        pairs = pairs.join(sets.select("_key", F.col("grams").alias("a")), "_key").join(sets.select(F.col("_key").alias("best"), F.col("grams").alias("b")), "best")
-        judged = pairs.select(F.struct("_key", "best").alias("_key"), "a", "b").mapInArrow(_alike, f"_key struct<_key:{kind},best:{kind}>, alike boolean")
-        return C.written(judged.where("alike").select("_key.*"), "copies")
-
-    def sure(headed: DataFrame) -> DataFrame:
-        """Rows that stay for sure, being the smallest wherever they are. headed: _key, best."""
-        return C.written(headed.groupBy("_key").agg(F.bool_and(F.col("_key") == F.col("best")).alias("sure")).where("sure").select("_key"), "stay")
-
-    def settle(headed: DataFrame, check) -> tuple[DataFrame, DataFrame]:
-        """(rows that stay for sure; copies of theirs)."""
-        stay = sure(headed)
-        pairs = headed.where("_key <> best").join(stay.select(F.col("_key").alias("best")), "best", "left_semi")
-        return stay, C.written(check(pairs).select("_key").distinct(), "gone")
-
-    sized = entries.groupBy("bucket").agg(F.min("_key").alias("best"))
-    stay = sure(entries.join(sized, "bucket"))
-    near = near_dedup(rows, "_key", text, shingle=1, once=True).where("_key <> component_id").select("_key", F.col("component_id").alias("best"))
-    gone = C.written(alike(near.join(stay.select(F.col("_key").alias("best")), "best", "left_semi")).select("_key").distinct(), "gone")
-    entries = C.written(entries.join(gone, "_key", "left_anti"), "buckets")
+    links = placed = None
+    level = 0
     while True:
-        sized = C.written(entries.groupBy("bucket").agg(F.min("_key").alias("best"), F.count("*").alias("n")).where("n > 1").select("bucket", "best", F.col("n").alias("rows")), "sizes")
-        if sized.where(F.col("rows") > COPY_BUCKET).isEmpty():
-            break
-        stay, more = settle(C.written(entries.join(sized, "bucket").select("_key", "best").distinct(), "heads"), alike)
-        gone = gone.union(more)
-        entries = C.written(entries.join(stay.union(more), "_key", "left_anti"), "buckets")
-    links = alike(_pairs(entries.join(sized.select("bucket"), "bucket")))
-    while not links.isEmpty():
-        own = links.select(F.col("best").alias("_key"), "best").distinct()
-        stay, more = settle(links.union(own), lambda pairs: pairs)
-        gone = gone.union(more)
-        done = stay.union(more)
-        links = C.written(links.join(done, "_key", "left_anti").join(done.select(F.col("_key").alias("best")), "best", "left_anti").select("_key", "best"), "copies")
-    return gone
+        sizes = live.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+        blocks = F.ceil(F.greatest(F.col("rows") / COPY_ROWS, F.col("grams") / COPY_GRAMS)).cast("bigint")
+        sizes = C.written(sizes.select("family", "rows", F.greatest(blocks, F.lit(1)).alias("blocks")), "families")
+        dealt = C.written(live.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("_row", F.lit(level)), "blocks")), "blocks")
+        some = dealt.where("rows > 1").select("family", "block", "_row", "none", "key", "file", "at").join(sets, "_row")
+        found = C.written(some.groupBy("family", "block").applyInArrow(_links, "a bigint, b bigint"), "copies")
+        links = found if links is None else links.union(found)
+        large, went = dealt.where("blocks > 1"), found.select(F.col("a").alias("_row"))
+        before = large.count()
+        last = not before or large.join(went, "_row", "left_semi").count() < 0.05 * before
+        rest = large.join(went, "_row", "left_anti")
+        gone = large.join(went, "_row", "left_semi").select("_row", "family", F.lit(-1).cast("bigint").alias("block"))
+        done = dealt.where("blocks = 1").select("_row", "family", "block").union(gone)
+        done = done.union(rest.select("_row", "family", "block")) if last else done
+        placed = done if placed is None else placed.union(done)
+        if last:
+            return links, placed
+        live = C.written(rest.drop("rows", "blocks", "block"), "live")
+        level += 1
+
+
+def near_copies(keys: C.Keyed) -> DataFrame:
+    """_key of the rows of common.Keyed that are near copies, by a chain of links, of a smaller row that stays.
+
+    Two texts are linked if they share COPY_SHARE of their distinct 5-word shingles (words: A-Z lower-cased, cut at ASCII white space; a
+    shorter text is one shingle; texts without words, null and empty ones too, are linked to each other only). Of the rows that links
+    connect the smallest stays. No two rows that stay are linked, whatever the size of a group; only chains of links within a family of
+    more than one block may be followed in part, as rows that went there are not compared with those of its other blocks.
+    Rows are ordered by key, null keys last, repeated rows by their place; each is judged by itself. An empty table gives no rows.
+
+    Candidates: rows that could be linked have a shingle in common among the first of each, in any one order for all rows; frequent ones
+    come last. A bucket holds the rows with a shingle among their first. Families are what the fingerprint trees and the largest and smallest row
+    of each bucket tie together; they are compared in whole blocks, so that only pairs
+    of different families are made from the buckets.
+    """
+    rows, spark = keys.rows, keys.rows.sparkSession
+    kind = rows.schema["_key"].dataType.simpleString()
+    often = spark.sparkContext.broadcast(_often(rows))
+    firsts = C.with_row(rows.select("_key", "text")).select("_row", "_key", "text").mapInArrow(_first_shingles(often), f"_row bigint, _key {kind}, n bigint, grams array<bigint>")
+    firsts = C.written(firsts, "firsts")
+    each = firsts.select("_row", "n", F.posexplode("grams").alias("place", "bucket"))
+    # of two linked texts the smaller has the bucket among still fewer first ones
+    lead = F.col("place") < F.col("n") - F.ceil(2 * COPY_SHARE / (1 + COPY_SHARE) * F.col("n") - 1e-6) + 1
+    each = each.select("bucket", "_row", "n", lead.alias("lead"))
+    met = each.groupBy("bucket").agg(F.min("_row").alias("low"), F.max("_row").alias("high")).where("low < high")
+    entries = C.written(each.join(met, "bucket"), "buckets")
+    places = lambda df: df.withColumns({"file": F.col("_key.file"), "at": F.col("_key.at")})
+    meeting = places(firsts.join(entries.select("_row").distinct(), "_row", "left_semi").select("_row", "_key")).select("_row", "file", "at")
+    texts = places(rows).join(meeting, ["file", "at"]).select("_row", "text")
+    sets = C.written(texts.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>"), "shingles")
+
+    # families
+    head = entries.select("_row", "n", F.explode(F.array("low", "high")).alias("head")).where("_row <> head").groupBy("_row", "n", "head").agg(F.count("*").alias("common"))
+    head = head.join(firsts.select(F.col("_row").alias("head"), F.col("n").alias("m")), "head").where(_could(F.col("common"), F.col("n"), F.col("m")))
+    near = near_dedup(rows, "_key", "text", shingle=1, once=True).where("_key <> component_id").select("_key", "component_id")
+    here = C.written(places(firsts).select("_row", "file", "at"), "places")
+    near = near.select(F.col("_key.file").alias("file"), F.col("_key.at").alias("at"), F.col("component_id.file").alias("file2"), F.col("component_id.at").alias("at2")).join(here, ["file", "at"])
+    near = near.join(here.toDF("_row2", "file2", "at2"), ["file2", "at2"])
+    edges = head.select("_row", "head").union(near.select("_row", "_row2")).select(F.greatest("_row", "head").alias("a"), F.least("_row", "head").alias("b"))
+    roots = components(edges)
+    family = roots.union(roots.select("root", "root").distinct()).toDF("_row", "family")
+    members = firsts.join(sets.select("_row"), "_row", "left_semi").select("_row", "n", F.col("_key.none").alias("none"), F.col("_key.key").alias("key"), F.col("_key.file").alias("file"), F.col("_key.at").alias("at"))
+    live = members.join(family, "_row", "left").withColumn("family", F.coalesce("family", "_row"))
+    links, placed = _settled(C.written(live, "live"), sets)
+
+    # pairs of rows that were not compared yet
+    rest = entries.drop("low", "high").join(placed, "_row")
+    cell = F.struct("family", "block")
+    mixed = rest.groupBy("bucket").agg((F.min(cell) != F.max(cell)).alias("mixed")).where("mixed").select("bucket")
+    rest = C.written(rest.join(mixed, "bucket"), "rest")
+    other = rest.select("bucket", F.col("_row").alias("other"), F.col("n").alias("m"), F.col("family").alias("family2"), F.col("block").alias("block2"))
+    pairs = rest.where("lead").join(other, "bucket").where("(family <> family2 or block <> block2 and least(block, block2) >= 0) and n <= m").where(F.col("n") >= COPY_SHARE * F.col("m") - 1e-6)
+    pairs = pairs.select(F.least("_row", "other").alias("x"), F.greatest("_row", "other").alias("y")).distinct()
+    of = lambda df, name: df.select(F.col("_row").alias(name), F.col("grams").alias(f"g{name}"), *([F.col("n").alias(f"n{name}")] if "n" in df.columns else []))
+    common = F.size(F.array_intersect("gx", "gy"))
+    pairs = pairs.join(of(firsts, "x"), "x").join(of(firsts, "y"), "y").where(_could(common, F.col("nx"), F.col("ny"))).select("x", "y")
+    pairs = pairs.join(of(sets, "x"), "x").join(of(sets, "y"), "y")
+    across = pairs.where(common >= COPY_SHARE * (F.size("gx") + F.size("gy") - common) - 1e-9).select("y", "x")
+    groups = components(links.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    groups = C.written(groups.union(groups.select("root", "root").distinct()).toDF("_row", "root").join(firsts.select("_row", "_key"), "_row"), "groups")
+    least = groups.groupBy("root").agg(F.min("_key").alias("least"))
+    return C.written(groups.join(least, "root").where("_key <> least").select("_key"), "copies")

@@ -345,36 +345,48 @@ def test_near_copies(spark):
             docs.append((g * 10 + c, " ".join(copy)))
         docs.append((g * 10 + 9, " ".join(base[:150] + [word() for _ in range(150)])))
         want.add(g * 10 + 9)
-    keys = common.keyed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
-    assert {r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()} == want
+    keys = common.Keyed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    assert {r.doc_id for r in keys.chosen(simhash.near_copies(keys), "left_anti").collect()} == want
 
 
-@pytest.mark.parametrize("bucket", [2, 64])
-def test_near_copies_of_every_kind_in_one_group(spark, monkeypatch, bucket):
-    """A chain of edits in one group against brute force: a row goes if and only if it is alike to a smaller row that stays."""
-    monkeypatch.setattr(simhash, "COPY_BUCKET", bucket)
-    monkeypatch.setattr(simhash, "near_dedup", lambda rows, *a, **k: rows.select("_key", F.min("_key").over(Window.partitionBy(F.lit(1))).alias("component_id")))
+def copies(texts):
+    """The links between texts of words, and for each the smallest that it is tied to."""
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for _ in root:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return links, root
+
+
+def staying(spark, texts):
+    keys = common.Keyed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3))
+    return sorted(r.doc_id for r in keys.chosen(simhash.near_copies(keys), "left_anti").collect())
+
+
+@pytest.mark.parametrize("rows", [4, 4096])
+def test_near_copies_in_chains(spark, monkeypatch, rows):
+    """Chains of edits: one row of each group stays if a block holds the family; however small blocks are, no two rows that stay are linked and no group goes."""
+    monkeypatch.setattr(simhash, "COPY_ROWS", rows)
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
-    texts = [[word() for _ in range(150)]]
+    texts = [[word() for _ in range(150)] for _ in range(2)]
     for _ in range(60):
         old = list(texts[int(rng.integers(0, len(texts)))])
-        for _ in range(int(rng.integers(1, 5))):
+        for _ in range(int(rng.integers(1, 7))):
             old[int(rng.integers(0, 150))] = word()
         texts.append(old)
-    sets = [{tuple(t[i : i + 5]) for i in range(146)} for t in texts]
-    stay = []
-    for i, s in enumerate(sets):
-        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in stay):
-            stay.append(i)
-    assert 3 < len(stay) < 55
-    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    keys = common.keyed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
-    assert sorted(r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()) == stay
+    links, root = copies(texts)
+    assert 2 < len(set(root)) < 40
+    stay = staying(spark, texts)
+    assert set(root) <= set(stay) and not any(i in stay and j in stay for i, j in links)
+    if rows > 100:
+        assert stay == sorted(set(root))
 
 
 def test_near_copies_cut_extended_and_inserted(spark):
-    """Copies with passages cut off, appended or put in, and words replaced, against brute force: whole stage, every pair."""
+    """Copies with passages cut off, appended or put in, and words replaced, against brute force over every pair."""
     rng = np.random.default_rng(12)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     texts = []
@@ -385,14 +397,20 @@ def test_near_copies_cut_extended_and_inserted(spark):
         other = [word() for _ in range(k)]
         texts += [base, base[: n - k], base[k:], base + other, base[:spot] + other + base[spot:], [word() if i == spot else w for i, w in enumerate(base)]]
     texts = [texts[i] for i in rng.permutation(len(texts))] + [[], ["one"], ["one", "two"]]
-    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
-    stay = []
-    for i, s in enumerate(sets):
-        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in stay):
-            stay.append(i)
-    assert 50 < len(stay) < 200
-    keys = common.keyed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3))
-    assert sorted(r.doc_id for r in common.chosen(keys, simhash.near_copies(keys), "left_anti").collect()) == stay
+    _, root = copies(texts)
+    assert 40 < len(set(root)) < 200
+    assert staying(spark, texts) == sorted(set(root))
+
+
+def test_near_copies_of_texts_made_of_frequent_passages(spark):
+    """Short rows that share all but one word are no copies, and passages in many texts don't tie them."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passages = [[word() for _ in range(30)] for _ in range(4)]
+    texts = [passages[0][:9] + [word()] for _ in range(40)] + [passages[i % 4] + passages[(i + 1) % 4] + [word() for _ in range(12)] for i in range(40)]
+    texts += [list(t) for t in texts[:5]]
+    _, root = copies(texts)
+    assert staying(spark, texts) == sorted(set(root))
 
 
 # 9 ----------------------------------------------------------------------------------------------------------------
