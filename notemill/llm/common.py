@@ -56,6 +56,10 @@ class Keyed:
         k, t = (F.col(f"c{self.columns.index(c)}") for c in (key, text))
         self.rows = rows.select(F.struct(k.isNull().alias("none"), k.alias("key"), "place.file", "place.at").alias("_key"), k.alias("key"), t.alias("text"), *[f"c{i}" for i in range(len(self.columns))])
 
+    def place(self, name: str) -> str:
+        """What a column of docs is called in rows."""
+        return f"c{self.columns.index(name)}"
+
     def chosen(self, kept: DataFrame, how: str = "left_semi") -> DataFrame:
         """The rows of docs whose _key is in kept (or, for left_anti, is not)."""
         at = lambda df: df.withColumns({"_file": F.col("_key.file"), "_at": F.col("_key.at")})

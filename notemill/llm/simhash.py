@@ -252,7 +252,7 @@ OFTEN_ROWS, OFTEN = 8192, 1 << 17
 
 def shingle_sets(column: pa.Array):
     """(first row, last row + 1, owner, gram) for runs of texts: each text's distinct shingle hashes in order; a shorter text is one shingle, one without words has none."""
-    for low, high, data, offsets in C.text_chunks(column):
+    for low, high, data, offsets in C.text_chunks(column, C.CHUNK_BYTES // 4):
         words = C.Words(data, offsets, solid=True)
         hashes, first, counts = words.hashes(), words.first, words.counts
         grams = C.gram_hashes(hashes, COPY_WORDS)
@@ -317,6 +317,34 @@ def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
+def _met(batches):
+    """Of entries in order of bucket: those whose bucket another row has as well, each with the bucket's first row. Only a bucket's first entry is held back."""
+    first = held = None  # the first entry of the bucket at hand, and the same while no other has come
+    for batch in batches:
+        bucket, entry = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(bucket):
+            continue
+        if held is not None:
+            bucket, entry = np.concatenate([[held[0]], bucket]), np.concatenate([[held[1]], entry])
+        start = np.ones(len(bucket), bool)
+        start[1:] = bucket[1:] != bucket[:-1]
+        goes_on = held is None and first is not None and bucket[0] == first[0]
+        begin = np.flatnonzero(start)
+        run = np.cumsum(start) - 1
+        head = entry[begin][run]
+        if goes_on:
+            head[run == 0] = first[1]
+        size = np.diff(np.append(begin, len(bucket)))
+        keep = size[run] > 1
+        if goes_on:
+            keep[run == 0] = True
+        last = begin[-1]
+        alone = size[-1] == 1 and not (goes_on and len(begin) == 1)
+        first = (bucket[last], head[last])
+        held = first if alone else None
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(entry[keep] >> 1), pa.array((entry[keep] & 1) == 1), pa.array(head[keep] >> 1)], ["bucket", "_row", "lead", "head"])
+
+
 def _could(common, n, m) -> Column:
     """Whether texts of n and m shingles, of which the first ones have `common` in common, can share COPY_SHARE.
 
@@ -407,7 +435,7 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     Rows are ordered by key, null keys last, repeated rows by their place; each is judged by itself. An empty table gives no rows.
 
     Candidates: rows that could be linked have a shingle in common among the first of each, in any one order for all rows; frequent ones
-    come last. A bucket holds the rows with a shingle among their first. Families are what the fingerprint trees and the largest and smallest row
+    come last. A bucket holds the rows with a shingle among their first. Families are what the fingerprint trees and the first row
     of each bucket tie together; they are compared in whole blocks, so that only pairs
     of different families are made from the buckets.
     """
@@ -416,20 +444,20 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     often = spark.sparkContext.broadcast(_often(rows))
     firsts = C.with_row(rows.select("_key", "text")).select("_row", "_key", "text").mapInArrow(_first_shingles(often), f"_row bigint, _key {kind}, n bigint, grams array<bigint>")
     firsts = C.written(firsts, "firsts")
-    each = firsts.select("_row", "n", F.posexplode("grams").alias("place", "bucket"))
     # of two linked texts the smaller has the bucket among still fewer first ones
     lead = F.col("place") < F.col("n") - F.ceil(2 * COPY_SHARE / (1 + COPY_SHARE) * F.col("n") - 1e-6) + 1
-    each = each.select("bucket", "_row", "n", lead.alias("lead"))
-    met = each.groupBy("bucket").agg(F.min("_row").alias("low"), F.max("_row").alias("high")).where("low < high")
-    entries = C.written(each.join(met, "bucket"), "buckets")
+    each = firsts.select("_row", "n", F.posexplode("grams").alias("place", "bucket")).select("bucket", (F.col("_row") * 2 + F.when(lead, 1).otherwise(0)).alias("entry"))
+    each = each.repartition("bucket").sortWithinPartitions("bucket", "entry").mapInArrow(_met, "bucket bigint, _row bigint, lead boolean, head bigint")
+    entries = C.written(each, "buckets")
     places = lambda df: df.withColumns({"file": F.col("_key.file"), "at": F.col("_key.at")})
     meeting = places(firsts.join(entries.select("_row").distinct(), "_row", "left_semi").select("_row", "_key")).select("_row", "file", "at")
     texts = places(rows).join(meeting, ["file", "at"]).select("_row", "text")
     sets = C.written(texts.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>"), "shingles")
 
     # families
-    head = entries.select("_row", "n", F.explode(F.array("low", "high")).alias("head")).where("_row <> head").groupBy("_row", "n", "head").agg(F.count("*").alias("common"))
-    head = head.join(firsts.select(F.col("_row").alias("head"), F.col("n").alias("m")), "head").where(_could(F.col("common"), F.col("n"), F.col("m")))
+    size = lambda name, row: firsts.select(F.col("_row").alias(row), F.col("n").alias(name))
+    head = entries.where("_row <> head").groupBy("_row", "head").agg(F.count("*").alias("common")).join(size("n", "_row"), "_row").join(size("m", "head"), "head")
+    head = head.where(_could(F.col("common"), F.col("n"), F.col("m")))
     near = near_dedup(rows, "_key", "text", shingle=1, once=True).where("_key <> component_id").select("_key", "component_id")
     here = C.written(places(firsts).select("_row", "file", "at"), "places")
     near = near.select(F.col("_key.file").alias("file"), F.col("_key.at").alias("at"), F.col("component_id.file").alias("file2"), F.col("component_id.at").alias("at2")).join(here, ["file", "at"])
@@ -442,10 +470,10 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     links, placed = _settled(C.written(live, "live"), sets)
 
     # pairs of rows that were not compared yet
-    rest = entries.drop("low", "high").join(placed, "_row")
+    rest = entries.select("bucket", "_row", "lead").join(placed, "_row")
     cell = F.struct("family", "block")
     mixed = rest.groupBy("bucket").agg((F.min(cell) != F.max(cell)).alias("mixed")).where("mixed").select("bucket")
-    rest = C.written(rest.join(mixed, "bucket"), "rest")
+    rest = C.written(rest.join(mixed, "bucket").join(size("n", "_row"), "_row"), "rest")
     other = rest.select("bucket", F.col("_row").alias("other"), F.col("n").alias("m"), F.col("family").alias("family2"), F.col("block").alias("block2"))
     pairs = rest.where("lead").join(other, "bucket").where("(family <> family2 or block <> block2 and least(block, block2) >= 0) and n <= m").where(F.col("n") >= COPY_SHARE * F.col("m") - 1e-6)
     pairs = pairs.select(F.least("_row", "other").alias("x"), F.greatest("_row", "other").alias("y")).distinct()

@@ -413,6 +413,21 @@ def test_near_copies_of_texts_made_of_frequent_passages(spark):
     assert staying(spark, texts) == sorted(set(root))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_entries_that_meet(size):
+    """Runs of equal buckets in batches of any size, against a count of all."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    for _ in range(50):
+        bucket = np.sort(rng.integers(0, 12, int(rng.integers(0, 40))))
+        entry = np.arange(len(bucket)) * 2 + rng.integers(0, 2, len(bucket))
+        batches = [pa.RecordBatch.from_arrays([pa.array(bucket[i : i + size]), pa.array(entry[i : i + size])], ["bucket", "entry"]) for i in range(0, len(bucket), size)]
+        got = [tuple(r.values()) for b in simhash._met(iter(batches)) for r in b.to_pylist()]
+        count = Counter(bucket.tolist())
+        assert sorted(got) == sorted((int(b), int(e) >> 1, bool(e & 1), int(entry[np.flatnonzero(bucket == b)[0]]) >> 1) for b, e in zip(bucket, entry) if count[b] > 1)
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
