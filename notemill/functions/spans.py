@@ -1,80 +1,116 @@
-"""Matches with offsets, without a UDF, and the ways to keep spans apart.
+"""Matches with offsets, and the ways to keep spans apart.
 
-A text's matches m and the pieces p between them give every offset: the i-th match starts after the first i pieces and i - 1 matches.
-Offsets are code points, the end exclusive. A pattern must not match the empty string.
+Spark has no expression that tells where a pattern matches, so `found` reads the texts once, in Arrow batches, and adds each row's matches as an
+array with what stands around them. All that follows (values, confidence, overlap, replacement) is an expression over that array: a text and its
+spans stay in one row, nothing is joined back by key and nothing is shuffled; rows with equal or null keys never mix.
+
+Offsets are code points, the end exclusive. Empty matches are left out. A null text has no spans.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+_TEXTS = ("match", "pre", "post")
+SPAN = StructType([StructField("rule", IntegerType()), StructField("start", LongType()), StructField("end", LongType()), *[StructField(n, StringType()) for n in _TEXTS]])
 
-SPAN = "struct<start:bigint,end:bigint,match:string>"
 
+def found(docs: DataFrame, rules: list[tuple], text: str = "text", before: int = 0, after: int | None = 0) -> DataFrame:
+    """docs with a column spans, in order of rule (the place in rules; a rule's first field is its pattern) and start.
 
-def scan(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start, end, match: a row for each match of pattern. Texts without one are left out before anything is split."""
-    found = docs.where(F.col(text).rlike(pattern)).select(F.col(key), F.col(text).alias("_t"))
-    parts = found.select(key, F.regexp_extract_all("_t", F.lit(pattern), 0).alias("_m"), F.transform(F.split("_t", pattern, -1), F.length).alias("_p"))
-    return parts.select(key, F.inline(offsets("_m", "_p")))
+    pre: up to `before` characters before the match; post: up to `after` after it (None: to the end of its line).
+    """
+    place, names = docs.columns.index(text), [*docs.columns, "spans"]
+    patterns = [r[0] for r in rules]
 
+    def run(batches):
+        compiled = [re.compile(p) for p in patterns]
+        for batch in batches:
+            ends, rule, start, end, match, pre, post = [0], [], [], [], [], [], []
+            for t in batch.column(place).to_pylist():
+                for i, p in enumerate(compiled if t else ()):
+                    for m in p.finditer(t):
+                        a, b = m.span()
+                        if a < b:
+                            rule.append(i)
+                            start.append(a)
+                            end.append(b)
+                            match.append(m.group())
+                            pre.append(t[max(0, a - before) : a])
+                            stop = b + after if after is not None else t.find("\n", b)
+                            post.append(t[b:stop] if stop >= 0 else t[b:])
+                ends.append(len(rule))
+            values = [pa.array(rule, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), *(pa.array(x, pa.string()) for x in (match, pre, post))]
+            spans = pa.StructArray.from_arrays(values, ["rule", "start", "end", *_TEXTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], names)
 
-def offsets(matches: str, gaps: str) -> Column:
-    """array<SPAN> of matches and the lengths of the pieces between them, in one pass."""
-    return F.expr(f"""aggregate(sequence(1, size({matches})), struct(0L as at, cast(array() as array<{SPAN}>) as out),
-        (acc, i) -> struct(acc.at + element_at({gaps}, i) + length(element_at({matches}, i)) as at,
-                           concat(acc.out, array(struct(acc.at + element_at({gaps}, i) as start, acc.at + element_at({gaps}, i) + length(element_at({matches}, i)) as end, element_at({matches}, i) as match))) as out)).out""")
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("spans", ArrayType(SPAN)))
 
 
-def keep_apart(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Per key, greedily in the given order, the spans that overlap none already kept. The spans of one text are folded in its row."""
-    fields = [c for c in spans.columns if c != key]
-    ranked = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order]))).alias("s"))
-    kind = ranked.schema["s"].dataType.simpleString()
-    fold = F.expr(f"aggregate(s, cast(array() as {kind}), (acc, x) -> if(exists(acc, y -> x.start < y.end and y.start < x.end), acc, concat(acc, array(x))))")
-    return ranked.select(key, F.inline(fold)).select(key, *fields)
+def scan(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", before: int = 0, after: int | None = 0) -> DataFrame:
+    """key, start, end, match (pre and post too where asked for): a row for each match of pattern."""
+    return scan_many(docs, [(pattern,)], key, text, before, after).drop("rule")
 
 
-def scan_many(docs: DataFrame, rules: list[tuple], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, rule (place in rules), start, end, match of every rule's matches, in one pass over the texts; a rule's first field is its pattern.
+def scan_many(docs: DataFrame, rules: list[tuple], key: str = "doc_id", text: str = "text", before: int = 0, after: int | None = 0) -> DataFrame:
+    """key, rule, start, end, match (pre and post too where asked for) of every rule's matches."""
+    rows = found(docs.select(key, text), rules, text, before, after).select(key, F.inline("spans"))
+    return rows.drop(*([] if before else ["pre"]), *([] if after != 0 else ["post"]))
 
-    Texts are cut only by the patterns they match.
-    """
-    t = docs.select(F.col(key), F.col(text).alias("_t"))
-    no_text, no_gap = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<int>)")
-    found = [F.when(F.col("_t").rlike(r[0]), F.regexp_extract_all("_t", F.lit(r[0]), 0)).otherwise(no_text) for r in rules]
-    t = t.select(key, "_t", F.array(*found).alias("_ms"))
-    gaps = [F.when(F.size(F.get("_ms", F.lit(i))) > 0, F.transform(F.split("_t", r[0], -1), F.length)).otherwise(no_gap) for i, r in enumerate(rules)]
-    t = t.select(key, "_ms", F.array(*gaps).alias("_ps"))
-    fields = ["start", "end", "match"]
-    rows = t.select(key, F.posexplode(F.arrays_zip("_ms", "_ps")).alias("rule", "_r")).where("size(_r._ms) > 0").select(key, "rule", F.col("_r._ms").alias("_m"), F.col("_r._ps").alias("_p"))
-    return rows.select(key, "rule", F.inline(offsets("_m", "_p"))).select(key, "rule", *fields)
-
-
-def keep_longest(spans: DataFrame, key: str) -> DataFrame:
-    """Per key, in order of start (longer, then surer first): a span that overlaps the last kept one replaces it if it is longer, else goes."""
-    fields = [c for c in spans.columns if c != key]
-    order = F.struct("start", (F.col("start") - F.col("end")).alias("_len"), (-F.col("confidence")).alias("_conf"), *[c for c in fields if c != "start"])
-    ranked = spans.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("s"))
-    kind = ranked.schema["s"].dataType.simpleString()
-    fold = F.expr(f"""aggregate(s, cast(array() as {kind}), (acc, x) ->
-        case when size(acc) = 0 or x.start >= element_at(acc, -1).end then concat(acc, array(x))
-             when x.end - x.start > element_at(acc, -1).end - element_at(acc, -1).start then concat(slice(acc, 1, size(acc) - 1), array(x))
-             else acc end)""")
-    return ranked.select(key, F.inline(fold)).select(key, *fields)
-
-
-def replace_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the given spans (start, end, new; none overlap) written over. Each text's spans are folded in its row."""
-    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_s"))
-    joined = docs.join(per, key, "left")
-    done = F.expr(f"""aggregate(_s, struct(0L as at, cast('' as string) as out),
-        (acc, x) -> struct(x.end as at, concat(acc.out, substring({text}, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), x.new) as out),
-        acc -> concat(acc.out, substring({text}, cast(acc.at + 1 as int))))""")
-    return joined.withColumn(text, F.when(F.col("_s").isNull(), F.col(text)).otherwise(done)).drop("_s")
-
-
-def before(text: Column, start: Column, n: int) -> Column:
-    """Up to n characters that end where a span starts."""
-    low = F.greatest(start - n, F.lit(0))
-    return F.substring(text, (low + 1).cast("int"), (start - low).cast("int"))
+
+def field(rules: list[tuple], i: int, rule: Column) -> Column:
+    """Field i of a span's rule."""
+    return F.element_at(F.lit([r[i] for r in rules]), rule + 1)
+
+
+def _ranked(spans: Column, order: Callable[[Column], list[Column]]) -> Column:
+    return F.array_sort(F.transform(spans, lambda x: F.struct(F.struct(*order(x)).alias("o"), x.alias("x"))))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def apart(spans: Column, order: Callable[[Column], list[Column]], against: Callable[[Column, Column], Column] = _overlap) -> Column:
+    """Greedily in the given order, the spans that stand against none already kept."""
+    none = F.filter(spans, lambda x: F.lit(False))
+    return F.aggregate(_ranked(spans, order), none, lambda acc, y: F.when(F.exists(acc, lambda k: against(k, y["x"])), acc).otherwise(F.concat(acc, F.array(y["x"]))))
+
+
+def apart_by(name: str) -> Callable[[Column, Column], Column]:
+    """For `apart`: spans with different values of a field don't stand against each other."""
+    return lambda a, b: (a[name] == b[name]) & _overlap(a, b)
+
+
+def _longer(x: Column, last: Column) -> Column:
+    return x["end"] - x["start"] > last["end"] - last["start"]
+
+
+def longest(spans: Column, order: Callable[[Column], list[Column]], better: Callable[[Column, Column], Column] = _longer) -> Column:
+    """In the given order (start first): a span that overlaps the last kept one replaces it if it is better (longer), else goes."""
+    none = F.filter(spans, lambda x: F.lit(False))
+
+    def add(acc: Column, y: Column) -> Column:
+        x, last = y["x"], F.get(acc, F.size(acc) - 1)
+        fits = (F.size(acc) == 0) | (x["start"] >= last["end"])
+        return F.when(fits, F.concat(acc, F.array(x))).when(better(x, last), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).otherwise(acc)
+
+    return F.aggregate(_ranked(spans, order), none, add)
+
+
+def rewritten(text: Column, spans: Column) -> Column:
+    """text with its spans (start, end, new; in order, none overlap) written over."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        kept = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        return F.struct(x["end"].alias("at"), F.concat(acc["out"], kept, x["new"]).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)

@@ -28,6 +28,8 @@ POST = [
 ENDS = r"(?i)\bbut\b|\bhowever\b|\byet\b|\bthough\b|\balthough\b|\baside\s+from\b|\bexcept\s+(?:for\s+)?|\bother\s+than\b|\bwhich\b|\bthat\s+(?:is|was|are|were)\b|[;:]"
 PSEUDO = r"(?i)\bno\s+(?:increase|decrease|change|improvement|worsening)\s+(?:in|of)\s+|\bnot\s+(?:cause|causing|caused)\s+|\bnot\s+(?:only|just|merely)\s+|\bnot\s+necessarily\s+"
 PSEUDO_SCOPE, SURE, DEFAULT = 40, 0.90, 0.80
+#: What of a text an entity is judged by: no scope is longer than 80 characters.
+BEFORE, AFTER = 240, 400
 
 
 def _best(gaps: Column, rules: list[tuple]) -> Column:
@@ -38,17 +40,16 @@ def _best(gaps: Column, rules: list[tuple]) -> Column:
     return F.when(first.isNotNull(), F.struct((-first["p"]).alias("priority"), first["d"].alias("distance"), F.get(status, first["i"]).alias("status")))
 
 
-def detect(entities: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """entities (key, start, end, ...) with status and assertion_confidence.
+def detect(entities: DataFrame) -> DataFrame:
+    """entities (match, pre, post: BEFORE and AFTER characters around, ...) with status and assertion_confidence; rows are judged one by one.
 
     The sentence ends at a newline, or at . ! or ? before white space and a capital. Before an entity a trigger's last occurrence counts, unless a
     scope word follows it; after one its first. A trigger before wins a tie.
     """
-    near = entities.join(docs.select(key, F.col(text).alias("_t")), key)
     # up to the entity's first character, so that a capital there ends the sentence before it
-    head = F.regexp_replace(F.substring("_t", F.lit(1), (F.col("start") + 1).cast("int")), r"(?s)^.*(?:[.!?]\s+(?=[A-Z])|\n\s*(?=\S))", "")
-    tail = F.regexp_replace(F.substring("_t", (F.col("end") + 1).cast("int"), F.lit(400)), r"(?s)(?:\n|(?<=[.!?])\s+(?=[A-Z])).*$", "")
-    near = near.withColumns({"_pre": F.left(head, F.greatest(F.length(head) - 1, F.lit(0))), "_post": tail}).drop("_t")
+    head = F.regexp_replace(F.concat("pre", F.left("match", F.lit(1))), r"(?s)^.*(?:[.!?]\s+(?=[A-Z])|\n\s*(?=\S))", "")
+    tail = F.regexp_replace(F.col("post"), r"(?s)(?:\n|(?<=[.!?])\s+(?=[A-Z])).*$", "")
+    near = entities.withColumns({"_pre": F.left(head, F.greatest(F.length(head) - 1, F.lit(0))), "_post": tail})
     after = F.array(*[F.when(F.col("_pre").rlike("(?i)" + p), F.regexp_extract("_pre", rf"(?is)^.*(?:{p})(.*)$", 1)) for p, *_ in PRE])
     later = F.array(*[F.when(F.col("_post").rlike("(?i)" + p), F.length(F.regexp_extract("_post", rf"(?is)^(.*?)(?:{p})", 1))) for p, *_ in POST])
     pseudo = F.when(F.col("_pre").rlike(PSEUDO), F.length(F.regexp_extract("_pre", rf"(?s)^.*(?:{PSEUDO})(.*)$", 1)))

@@ -26,12 +26,11 @@ def phi_documents(spark, sf):
 
 
 def phi_detect(spark, sf):
-    return P.detect(N.notes(spark, sf), "note_id", types=["NAME", "DATE", "PHONE", "EMAIL", "MRN", "AGE"])
+    return P.detect(N.notes(spark, sf), "note_id", types=PHI_TYPES)
 
 
 def _phi(spark, sf, strategy):
-    n = N.notes(spark, sf)
-    return P.replaced(n, P.detect(n, "note_id", types=["NAME", "DATE", "PHONE", "EMAIL", "MRN", "AGE"]), strategy, "note_id").select("note_id", F.md5("text").alias("md5"), F.length("text").cast("bigint").alias("n"))
+    return P.replaced(N.notes(spark, sf).select("note_id", "text"), strategy, types=PHI_TYPES).select("note_id", F.md5("text").alias("md5"), F.length("text").cast("bigint").alias("n"))
 
 
 def phi_redact(spark, sf):
@@ -67,8 +66,7 @@ def ner_rules(spark, sf):
 
 
 def ner_modifiers(spark, sf):
-    n = N.notes(spark, sf)
-    return E.with_modifiers(E.extract(n, "note_id"), n, "note_id").groupBy("type", "is_negated", "is_uncertain").agg(F.count("*").alias("n"))
+    return E.with_modifiers(E.extract(N.notes(spark, sf), "note_id")).groupBy("type", "is_negated", "is_uncertain").agg(F.count("*").alias("n"))
 
 
 def sections_parse(spark, sf):

@@ -12,7 +12,7 @@ from notemill.operators import scoring as R
 from notemill.operators import search
 from notemill.operators import summaries as Y
 from notemill.operators import vitals as V
-from notemill.plans.clinical_queries import NER, NOTES
+from notemill.plans.clinical_queries import NER, NOTES, PHI_TYPES
 from notemill.plans.monitor_queries import _pairs, _span_votes
 from notemill.sources import notes as N
 from notemill.sources import store
@@ -72,7 +72,7 @@ def pipeline_enhanced(spark, sf):
     n = N.notes(spark, sf)
     per = lambda df, name: df.groupBy("note_id").agg(F.count("*").alias(name))
     out = n.select("note_id").join(per(E.extract(n, "note_id"), "entities"), "note_id", "left")
-    out = out.join(per(P.detect(n, "note_id", types=["NAME", "DATE", "PHONE", "EMAIL", "MRN", "AGE"]), "phi"), "note_id", "left").join(per(V.extract(n, "note_id"), "vitals"), "note_id", "left")
+    out = out.join(per(P.detect(n, "note_id", types=PHI_TYPES), "phi"), "note_id", "left").join(per(V.extract(n, "note_id"), "vitals"), "note_id", "left")
     out = out.join(per(R.icd_codes(n, "note_id"), "codes"), "note_id", "left").join(per(C.match_text(n, "note_id"), "comorbidities"), "note_id", "left")
     return out.na.fill(0).join(R.risk(n, "note_id").select("note_id", "risk_level"), "note_id")
 

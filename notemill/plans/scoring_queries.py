@@ -51,12 +51,12 @@ CONDITIONS = r"(?i)\b(?:fever|pneumonia|hypertension|heart failure|diabetes mell
 
 def assertion_status(spark, sf):
     n = N.notes(spark, sf)
-    return A.detect(S.scan(n, CONDITIONS, "note_id"), n, "note_id").select("note_id", "start", "match", "status", "assertion_confidence")
+    return A.detect(S.scan(n, CONDITIONS, "note_id", before=A.BEFORE, after=A.AFTER)).select("note_id", "start", "match", "status", "assertion_confidence")
 
 
 def assertion_totals(spark, sf):
     n = N.notes(spark, sf)
-    return A.detect(E.extract(n, "note_id"), n, "note_id").groupBy("type", "status").agg(F.count("*").alias("n"))
+    return A.detect(E.extract(n, "note_id", before=A.BEFORE, after=A.AFTER)).groupBy("type", "status").agg(F.count("*").alias("n"))
 
 
 def _hits(keys) -> str:

@@ -10,7 +10,7 @@ from notemill.streaming import windows
 
 def spans_of(spark, text, *terms):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    return docs, S.scan(docs, "(?i)" + "|".join(terms))
+    return S.scan(docs, "(?i)" + "|".join(terms), before=A.BEFORE, after=A.AFTER)
 
 
 @pytest.mark.parametrize(("text", "term", "status"), [
@@ -26,8 +26,7 @@ def spans_of(spark, text, *terms):
     ("fever", "fever", "present"),
 ])
 def test_assertions(spark, text, term, status):
-    docs, found = spans_of(spark, text, term)
-    assert [r.status for r in A.detect(found, docs).collect()] == [status]
+    assert [r.status for r in A.detect(spans_of(spark, text, term)).collect()] == [status]
 
 
 @pytest.mark.parametrize(("text", "pattern", "want"), [("", "a", []), ("bbb", "a", []), ("aba", "a", [(0, 1), (2, 3)]), ("😀a é a", "a", [(1, 2), (5, 6)]), ("aaaa", "aa", [(0, 2), (2, 4)]), (None, "a", [])])
