@@ -79,16 +79,27 @@ def calibration_error(df: DataFrame, truth: str, prob: str, bins: int = 10) -> D
     return errors.crossJoin(F.broadcast(brier))
 
 
-def auprc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under precision and recall by trapezoids from (0, 1), a point for each distinct score: counts first, so that the ordered
-    part is as long as there are scores.
+def auprc(df: DataFrame, truth: str, score: str, ranges: int = 1000) -> DataFrame:
+    """Area under precision and recall by trapezoids from (0, 1), a point for each distinct score.
+
+    Scores are counted first and cut into ranges of about equal numbers; running sums are taken over the ranges' totals, of which there are at most `ranges`,
+    and then within each range, so that no task orders all scores. Null scores and labels are left out.
     """
-    per = df.groupBy(F.col(score).alias("s")).agg(F.sum(truth).alias("pos"), F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("s"))
-    tp, seen = F.sum("pos").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    points = per.crossJoin(F.broadcast(df.agg(F.sum(truth).alias("all")))).select("s", (tp / F.col("all")).alias("r"), (tp / seen).alias("p"))
-    before = points.select("r", "p", F.lag("r", 1, 0.0).over(order).alias("r0"), F.lag("p", 1, 1.0).over(order).alias("p0"))
-    return before.agg(F.sum((F.col("r") - F.col("r0")) * (F.col("p") + F.col("p0")) / 2).alias("auprc"), F.count("*").alias("points"))
+    per = df.dropna(subset=[truth, score]).groupBy(F.col(score).alias("s")).agg(F.sum(truth).alias("pos"), F.count("*").alias("n"))
+    cuts = per.agg(F.coalesce(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 10 * ranges), F.expr("array()")).alias("cuts"))
+    # a range's number falls as its scores grow
+    per = per.crossJoin(F.broadcast(cuts)).select("s", "pos", "n", (-F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("s")))).alias("range"))
+    totals = per.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
+    start = totals.select("range", F.coalesce(F.sum("pos").over(earlier), F.lit(0)).alias("pos0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.sum("pos").over(everything).alias("all"))
+    order = Window.partitionBy("range").orderBy(F.desc("s"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    points = per.join(F.broadcast(start), "range").select("range", "s", "pos0", "n0", "all", (F.sum("pos").over(upto) + F.col("pos0")).alias("tp"), (F.sum("n").over(upto) + F.col("n0")).alias("seen"))
+    points = points.select("tp", "seen", "all", F.lag("tp").over(order).alias("tp0"), F.lag("seen").over(order).alias("seen0"), "pos0", "n0")
+    tp0, seen0 = F.coalesce("tp0", "pos0"), F.coalesce("seen0", "n0")
+    step = (F.col("tp") / F.col("all") - tp0 / F.col("all")) * (F.col("tp") / F.col("seen") + F.when(seen0 > 0, tp0 / seen0).otherwise(1.0)) / 2
+    return points.agg(F.sum(step).alias("auprc"), F.count("*").alias("points"))
 
 
 def precision_at_k(df: DataFrame, truth: str, score: str, key: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,72 +26,72 @@ DAMPING, ROUNDS, ENOUGH = 0.85, 100, 1e-4
 
 
 def rank_sentences(found: list[str]) -> np.ndarray:
-    """Biased PageRank over the cosines of the sentences' words, tf and idf log-scaled."""
+    """Biased PageRank over the cosines of the sentences' words, tf and idf log-scaled.
+
+    The matrix of cosines is never made: it is the product of the sparse matrix of weights with its transpose, without the diagonal, so a round is two
+    sparse products and memory follows the words. Scores are rounded so that equal sentences tie.
+    """
     n, vocabulary = len(found), {}
-    counts = []
-    for s in found:
-        row: dict[int, int] = {}
-        for w in re.findall(r"\w\w+", s.lower()):
-            i = vocabulary.setdefault(w, len(vocabulary))
-            row[i] = row.get(i, 0) + 1
-        counts.append(row)
-    weights = np.zeros((n, max(1, len(vocabulary))))
-    for i, row in enumerate(counts):
-        for j, c in row.items():
-            weights[i, j] = 1 + math.log(c)
-    weights *= np.log((1 + n) / (1 + (weights > 0).sum(axis=0))) + 1
-    norms = np.linalg.norm(weights, axis=1, keepdims=True)
-    weights /= np.where(norms == 0, 1, norms)
-    links = weights @ weights.T
-    np.fill_diagonal(links, 0)
-    sums = links.sum(axis=1, keepdims=True)
-    links /= np.where(sums == 0, 1, sums)
+    row, column, value = [], [], []
+    for i, s in enumerate(found):
+        for w, c in Counter(re.findall(r"\w\w+", s.lower())).items():
+            row.append(i)
+            column.append(vocabulary.setdefault(w, len(vocabulary)))
+            value.append(1 + math.log(c))
+    row, column, m = np.array(row, np.int64), np.array(column, np.int64), max(1, len(vocabulary))
+    weight = np.array(value) * (np.log((1 + n) / (1 + np.bincount(column, minlength=m))) + 1)[column]
+    norm = np.sqrt(np.bincount(row, weight * weight, minlength=n))
+    weight = weight / norm[row]
+    own = (norm > 0).astype(float)
+    near = lambda x: np.bincount(row, weight * np.bincount(column, weight * x[row], minlength=m)[column], minlength=n) - own * x
+    sums = near(np.ones(n))
+    sums = np.where(np.abs(sums) < 1e-12, 1, sums)
     bias = np.array([1 + 0.2 * sum(bool(p.search(s)) for p in IMPORTANT) for s in found])
     bias /= bias.sum()
     score = np.full(n, 1 / n)
     for _ in range(ROUNDS):
-        new = (1 - DAMPING) * bias + DAMPING * links.T @ score
+        new = (1 - DAMPING) * bias + DAMPING * near(score / sums)
         change, score = np.abs(new - score).sum(), new
         if change < ENOUGH:
             break
-    return score
+    return np.round(score, 10)
 
 
-def summarise(docs: DataFrame, detail: str = "standard", key: str = "doc_id", text: str = "text", block: int = 400) -> DataFrame:
-    """key, sentences (in the text), kept, summary. Sentences of over 15 characters; texts of more than `block` are summarised block by block, so that
-    a long text's matrix stays small; each block gives its share.
-    """
+def summary_of(found: list[str], share: float, most: int) -> list[str]:
+    """The best sentences in order of place: a share of them, one at least and `most` at most."""
+    target = min(max(1, math.ceil(len(found) * share)), most)
+    order = sorted(range(len(found)), key=rank_sentences(found).__getitem__, reverse=True)[:target] if len(found) > 1 else range(len(found))
+    return [found[i] for i in sorted(order)]
+
+
+def summarise(docs: DataFrame, detail: str = "standard", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, sentences (in the text, of over 15 characters), kept, summary. All sentences of a text are ranked together."""
     share, most = DETAIL[detail]
     kind = docs.schema[key].dataType.simpleString()
     cut = docs.select(F.col(key).alias("key"), F.filter(sentences(preprocess(F.coalesce(F.col(text), F.lit("")))), lambda s: F.length(s) > 15).alias("s"))
 
     def run(batches):
         for batch in batches:
-            counts, kept, out = [], [], []
-            for found in batch.column(1).to_pylist():
-                chosen = []
-                for low in range(0, len(found), block):
-                    part = found[low : low + block]
-                    target = min(max(1, math.ceil(len(part) * share)), most)
-                    order = sorted(range(len(part)), key=rank_sentences(part).__getitem__, reverse=True)[:target] if len(part) > 1 else [0]
-                    chosen += [part[i] for i in sorted(order)]
-                counts.append(len(found))
-                kept.append(len(chosen))
-                out.append(" ".join(chosen))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.int64()), pa.array(out, pa.string())], ["key", "sentences", "kept", "summary"])
+            found = batch.column(1).to_pylist()
+            chosen = [summary_of(s, share, most) for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(len, chosen), pa.int64()), pa.array(map(" ".join, chosen), pa.string())], ["key", "sentences", "kept", "summary"])
 
     return cut.mapInArrow(run, f"key {kind}, sentences bigint, kept bigint, summary string").withColumnRenamed("key", key)
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    ids = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    right = np.array([ids[w] for w in b], np.int64)
-    row = np.zeros(len(b) + 1, np.int32)
-    for w in a:
-        grown = np.where(right == ids[w], row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(grown, row[1:]))
-    return int(row[-1]) if len(b) else 0
+    """Length of the longest common subsequence. A row of the table is one number with a bit for each word of a: a bit that is off marks where the length grows, so
+    a word of b costs a few operations on len(a) bits.
+    """
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        here = row & places.get(w, 0)
+        row = ((row + here) | (row - here)) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(pairs: DataFrame, key: str = "pair_id", ref: str = "ref", hyp: str = "hyp") -> DataFrame:

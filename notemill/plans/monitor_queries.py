@@ -100,7 +100,7 @@ def hier_icd(spark, sf):
 
 
 def _pairs(spark, sf):
-    d = _t(spark, sf, "documents").where("doc_id < 300").select("doc_id", "text")
+    d = _t(spark, sf, "documents").select("doc_id", "text")
     n = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("hyp"))
     return d.join(n, "doc_id").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("ref"), "hyp")
 
@@ -223,7 +223,7 @@ REC = f"(select doc_id, length(text)::double as doc_length, len({_words('text')}
 
 def _rouge_sql(n: int) -> str:
     g = f"list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' '))"
-    return f"""with d as (select doc_id, {_words('lower(text)')} as w from documents where doc_id < 300),
+    return f"""with d as (select doc_id, {_words('lower(text)')} as w from documents),
 a as (select doc_id as k, unnest({g}) as g from d), b as (select doc_id + 1 as k, unnest({g}) as g from d where doc_id + 1 in (select doc_id from d)),
 ca as (select k, g, count(*) as a from a where k - 1 in (select doc_id from d) group by all), cb as (select k, g, count(*) as b from b group by all),
 j as (select k, g, coalesce(a, 0) as a, coalesce(b, 0) as b from ca full join cb using (k, g)),

@@ -1,10 +1,25 @@
 """Hand-made cases for what SQL doesn't check."""
 
+import numpy as np
 import pytest
 
 from notemill.functions import spans as S
+from notemill.operators import abbreviations as B
+from notemill.operators import allergies as L
 from notemill.operators import assertions as A
+from notemill.operators import concepts as C2
+from notemill.operators import doctypes as D2
+from notemill.operators import entities as E
+from notemill.operators import medications as M
+from notemill.operators import metrics as W2
 from notemill.operators import monitoring as W
+from notemill.operators import note_quality as Q2
+from notemill.operators import phi as P
+from notemill.operators import sections as X
+from notemill.operators import social as O
+from notemill.operators import summaries as Y
+from notemill.operators import temporal as T
+from notemill.operators import vitals as V
 from notemill.streaming import windows
 
 
@@ -51,3 +66,137 @@ def test_admission_counts_admitted_only(spark):
         want[r.event_id] = len(held) < 2
         times[r.user_id] = held + [r["at"]] * want[r.event_id]
     assert got == want
+
+
+def test_hidden_parts_of_repeated_and_null_keys(spark):
+    """Rows that share a key, or have none, are searched each in its own text."""
+    docs = spark.createDataFrame([(1, "Dr. John Smith"), (1, "Mary wrote a@b.org"), (None, "c@d.org"), (None, None), (2, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.type, r.match) for r in P.detect(docs).collect()) == [(0, "EMAIL", "c@d.org"), (1, "EMAIL", "a@b.org"), (1, "NAME", "Dr. John Smith")]
+    assert sorted((r.text or "") for r in P.replaced(docs).collect()) == ["", "", "Mary wrote [EMAIL]", "[EMAIL]", "[NAME]"]
+
+
+def test_extractors_on_repeated_and_null_rows(spark):
+    docs = spark.createDataFrame([(1, "BP: 120/80 mmHg"), (1, "BP: 150/95 mmHg"), (None, None), (None, "takes aspirin 81 mg daily")], "doc_id bigint, text string")
+    assert sorted(r.value for r in V.extract(docs).collect()) == [120.0, 150.0]
+    assert [(r.drug, r.dose) for r in M.extract(docs).collect()] == [("aspirin", 81.0)]
+    assert {r.type for r in E.extract(docs).collect()} == {"LAB_VALUE", "MEDICATION", "DOSAGE"}
+    for found in (X.parse(docs), L.extract(docs), T.extract(docs, "2024-01-01"), O.extract(docs), B.expand(docs)):
+        assert found.count() >= 0
+
+
+def dense_ranks(found):
+    """The same ranking with the whole matrix of cosines."""
+    import math
+    import re
+
+    words = sorted({w for s in found for w in re.findall(r"\w\w+", s.lower())})
+    tf = np.array([[re.findall(r"\w\w+", s.lower()).count(w) for w in words] for s in found], float)
+    tf = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
+    w = tf * (np.log((1 + len(found)) / (1 + (tf > 0).sum(axis=0))) + 1)
+    norm = np.linalg.norm(w, axis=1, keepdims=True)
+    w = w / np.where(norm == 0, 1, norm)
+    links = w @ w.T
+    np.fill_diagonal(links, 0)
+    sums = links.sum(axis=1, keepdims=True)
+    links = links / np.where(sums == 0, 1, sums)
+    bias = np.array([1 + 0.2 * sum(bool(p.search(s)) for p in Y.IMPORTANT) for s in found])
+    bias /= bias.sum()
+    score = np.full(len(found), 1 / len(found))
+    for _ in range(Y.ROUNDS):
+        new = (1 - Y.DAMPING) * bias + Y.DAMPING * links.T @ score
+        done, score = math.fsum(abs(new - score)) < Y.ENOUGH, new
+        if done:
+            break
+    return score
+
+
+def test_sentence_ranks():
+    rng = np.random.default_rng(3)
+    vocabulary = ["plan", "dose", "acute", "the", "of", "lung", "heart", "x", "rest", "walk", "pain", "biopsy"]
+    for n in (2, 3, 20, 120):
+        found = [" ".join(rng.choice(vocabulary, int(rng.integers(1, 9)))) for _ in range(n)] + ["x y", "alone here"]
+        assert np.allclose(Y.rank_sentences(found), dense_ranks(found), atol=1e-8)
+    assert Y.summary_of(["one only sentence"], 0.3, 12) == ["one only sentence"] and Y.summary_of([], 0.3, 12) == []
+    assert len(Y.summary_of([f"sentence number {i} of many" for i in range(3000)], 0.3, 12)) == 12
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a, b = (list(rng.choice(list("abcd"), int(rng.integers(0, 70)))) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        assert Y.common_subsequence(a, b) == table[-1, -1]
+    assert Y.common_subsequence(["w"] * 20_000, ["w"] * 15_000) == 15_000
+
+
+def test_precision_recall_area_over_ranges(spark):
+    """Few ranges and many, ties and a single class, against one pass over the sorted scores."""
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.random() < 0.3), float(np.round(rng.random(), 2))) for _ in range(500)] + [(1, None), (None, 0.5)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    area, tp, seen, r0, p0 = 0.0, 0, 0, 0.0, 1.0
+    some = [(y, s) for y, s in rows if y is not None and s is not None]
+    total = sum(y for y, _ in some)
+    for s in sorted({s for _, s in some}, reverse=True):
+        tp += sum(y for y, x in some if x == s)
+        seen += sum(x == s for _, x in some)
+        area += (tp / total - r0) * (tp / seen + p0) / 2
+        r0, p0 = tp / total, tp / seen
+    for ranges in (2, 7, 1000):
+        assert abs(W2.auprc(df, "y", "s", ranges).first().auprc - area) < 1e-9
+
+
+def test_likeness_of_names(spark):
+    """Blocking by pairs of characters loses no name that is as alike as 0.8."""
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(6)
+    names = sorted({"".join(rng.choice(list("abc "), int(rng.integers(1, 9)))) for _ in range(250)})
+    keys, own = names[::2], names[1::2]
+    got = C2.alike(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(n,) for n in own], "name string"))
+    assert sorted((r.key, r.name) for r in got.collect()) == sorted((a, b) for a in keys for b in own if SequenceMatcher(None, a, b).ratio() >= 0.8)
+
+
+def test_concepts_by_type_and_likeness(spark):
+    d = C2.dictionary(spark)
+    rows = [("Hypertension", "DISEASE"), ("  HTN. ", "DISEASE"), ("hypertensoin", "DISEASE"), ("aspirin", "DISEASE"), ("aspirin", "MEDICATION"), ("zzzz", "DISEASE"), (None, None), ("", None), ("mri", "UNSEEN")]
+    got = {(r.m, r.k): (r.term, r.match_type) for r in C2.normalise(spark.createDataFrame(rows, "m string, k string"), d, "m", "k").collect()}
+    assert got == {("Hypertension", "DISEASE"): ("Hypertension", "exact"), ("  HTN. ", "DISEASE"): ("Hypertension", "alias"), ("hypertensoin", "DISEASE"): ("Hypertension", "fuzzy"), ("aspirin", "DISEASE"): (None, "none"), ("aspirin", "MEDICATION"): ("Aspirin", "exact"), ("zzzz", "DISEASE"): (None, "none"), (None, None): (None, "none"), ("", None): (None, "none"), ("mri", "UNSEEN"): ("Magnetic Resonance Imaging", "alias")}
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ("OPERATIVE NOTE\nPre-operative diagnosis: hernia\nPost-operative diagnosis: hernia\nProcedure performed: repair\nAnesthesia: general\nEstimated blood loss: 10 ml\nFindings: sterile incision, closure, hemostasis", "operative_note"),
+    ("DISCHARGE SUMMARY\nAdmission date: today\nHospital course: good\nDischarge diagnosis: well\nFollow-up instructions: home medications, disposition, admitted, discharged", "discharge_summary"),
+    ("The quick brown fox", None), ("", None), (None, "unknown"),
+])
+def test_document_types(spark, text, kind):
+    got = D2.classify(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert kind is None or got.doc_type == kind
+
+
+def test_note_quality(spark):
+    texts = ["", None, "short", "word " * 60, "Copied paragraph that is long enough.\n\nCopied paragraph that is long enough.\n\nPatient denies chest pain. Reports chest pain."]
+    got = Q2.report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.readability for r in got[:2]] == [0.0, 0.0] and got[0].recommendations[:2] == ["very short: 0 words", "no sentences"]
+    assert got[3].structure < 100 and "no headers" in got[3].recommendations
+    assert got[4].consistency == 75.0 and "contradictions" in got[4].recommendations
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Pt c/o SOB. PMH: HTN", [("Pt", "patient", "default"), ("c/o", "complains of", "unambiguous"), ("SOB", "shortness of breath", "unambiguous"), ("PMH", "past medical history", "unambiguous"), ("HTN", "hypertension", "unambiguous")]),
+    ("LABS: pt 12", [("pt", "prothrombin time", "section")]),
+    ("pe with clot and heparin", [("pe", "pulmonary embolism", "context")]),
+    ("n/v/d today", [("n/v/d", "nausea, vomiting, and diarrhea", "unambiguous")]),
+    ("", []), (None, []), ("ptx htnx", []),
+])
+def test_abbreviations(spark, text, want):
+    got = B.expand(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [(r.abbreviation, r.expansion, r.resolution) for r in got] == want
+
+
+def test_abbreviations_written_out(spark):
+    docs = spark.createDataFrame([(1, "HTN and n/v"), (2, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in B.rewrite(docs).collect()} == {1: "HTN (hypertension) and n/v (nausea and vomiting)", 2: None}
