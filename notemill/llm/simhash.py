@@ -318,8 +318,8 @@ def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(batches):
-    """Of entries in order of bucket: those whose bucket another row has as well, each with the bucket's first row. Only a bucket's first entry is held back."""
-    first = held = None  # the first entry of the bucket at hand, and the same while no other has come
+    """Of entries in order of bucket: those whose bucket another row has as well, each with the bucket's first row and the one before it. Only a bucket's first entry is held back."""
+    first = held = late = None  # the first entry of the bucket at hand, the same while no other has come, and the last one
     for batch in batches:
         bucket, entry = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(bucket):
@@ -335,6 +335,10 @@ def _met(batches):
         if goes_on:
             head[run == 0] = first[1]
         size = np.diff(np.append(begin, len(bucket)))
+        before = np.where(start, entry, np.roll(entry, 1))
+        if goes_on:
+            before[0] = late
+        late = entry[-1]
         keep = size[run] > 1
         if goes_on:
             keep[run == 0] = True
@@ -342,7 +346,7 @@ def _met(batches):
         alone = size[-1] == 1 and not (goes_on and len(begin) == 1)
         first = (bucket[last], head[last])
         held = first if alone else None
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(entry[keep] >> 1), pa.array((entry[keep] & 1) == 1), pa.array(head[keep] >> 1)], ["bucket", "_row", "lead", "head"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(entry[keep] >> 1), pa.array((entry[keep] & 1) == 1), pa.array(head[keep] >> 1), pa.array(before[keep] >> 1)], ["bucket", "_row", "lead", "head", "before"])
 
 
 def _could(common, n, m) -> Column:
@@ -435,8 +439,8 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     Rows are ordered by key, null keys last, repeated rows by their place; each is judged by itself. An empty table gives no rows.
 
     Candidates: rows that could be linked have a shingle in common among the first of each, in any one order for all rows; frequent ones
-    come last. A bucket holds the rows with a shingle among their first. Families are what the fingerprint trees and the first row
-    of each bucket tie together; they are compared in whole blocks, so that only pairs
+    come last. A bucket holds the rows with a shingle among their first. Families are what the fingerprint trees and, within buckets, each row with the first and the one before it
+    tie together, if they have a quarter of what they need in common there; they are compared in whole blocks, so that only pairs
     of different families are made from the buckets.
     """
     rows, spark = keys.rows, keys.rows.sparkSession
@@ -447,39 +451,44 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     # of two linked texts the smaller has the bucket among still fewer first ones
     lead = F.col("place") < F.col("n") - F.ceil(2 * COPY_SHARE / (1 + COPY_SHARE) * F.col("n") - 1e-6) + 1
     each = firsts.select("_row", "n", F.posexplode("grams").alias("place", "bucket")).select("bucket", (F.col("_row") * 2 + F.when(lead, 1).otherwise(0)).alias("entry"))
-    each = each.repartition("bucket").sortWithinPartitions("bucket", "entry").mapInArrow(_met, "bucket bigint, _row bigint, lead boolean, head bigint")
+    each = each.repartition("bucket").sortWithinPartitions("bucket", "entry").mapInArrow(_met, "bucket bigint, _row bigint, lead boolean, head bigint, before bigint")
     entries = C.written(each, "buckets")
     places = lambda df: df.withColumns({"file": F.col("_key.file"), "at": F.col("_key.at")})
-    meeting = places(firsts.join(entries.select("_row").distinct(), "_row", "left_semi").select("_row", "_key")).select("_row", "file", "at")
-    texts = places(rows).join(meeting, ["file", "at"]).select("_row", "text")
-    sets = C.written(texts.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>"), "shingles")
+    size = lambda name, row: firsts.select(F.col("_row").alias(row), F.col("n").alias(name))
+
+    def sets_of(ids: DataFrame, tag: str) -> DataFrame:
+        """(_row, grams) of the rows with these ids; only their texts are cut."""
+        ids = C.written(places(firsts.select("_row", "_key").join(ids.select("_row"), "_row", "left_semi")).select("_row", "file", "at"), f"{tag}-rows")
+        texts = places(rows.select("_key", "text")).join(ids, ["file", "at"]).select("_row", "text")
+        return C.written(texts.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>"), tag)
 
     # families
-    size = lambda name, row: firsts.select(F.col("_row").alias(row), F.col("n").alias(name))
-    head = entries.where("_row <> head").groupBy("_row", "head").agg(F.count("*").alias("common")).join(size("n", "_row"), "_row").join(size("m", "head"), "head")
-    head = head.where(_could(F.col("common"), F.col("n"), F.col("m")))
+    head = entries.select("_row", F.explode(F.array_distinct(F.array("head", "before"))).alias("head")).where("_row <> head").groupBy("_row", "head").agg(F.count("*").alias("common"))
+    head = head.join(size("n", "_row"), "_row").join(size("m", "head"), "head").where(_could(F.col("common") * 4, F.col("n"), F.col("m")))
     near = near_dedup(rows, "_key", "text", shingle=1, once=True).where("_key <> component_id").select("_key", "component_id")
     here = C.written(places(firsts).select("_row", "file", "at"), "places")
     near = near.select(F.col("_key.file").alias("file"), F.col("_key.at").alias("at"), F.col("component_id.file").alias("file2"), F.col("component_id.at").alias("at2")).join(here, ["file", "at"])
     near = near.join(here.toDF("_row2", "file2", "at2"), ["file2", "at2"])
     edges = head.select("_row", "head").union(near.select("_row", "_row2")).select(F.greatest("_row", "head").alias("a"), F.least("_row", "head").alias("b"))
     roots = components(edges)
-    family = roots.union(roots.select("root", "root").distinct()).toDF("_row", "family")
-    members = firsts.join(sets.select("_row"), "_row", "left_semi").select("_row", "n", F.col("_key.none").alias("none"), F.col("_key.key").alias("key"), F.col("_key.file").alias("file"), F.col("_key.at").alias("at"))
-    live = members.join(family, "_row", "left").withColumn("family", F.coalesce("family", "_row"))
-    links, placed = _settled(C.written(live, "live"), sets)
+    family = C.written(roots.union(roots.select("root", "root").distinct()).toDF("_row", "family"), "family")
+    live = firsts.select("_row", "n", F.col("_key.none").alias("none"), F.col("_key.key").alias("key"), F.col("_key.file").alias("file"), F.col("_key.at").alias("at")).join(family, "_row")
+    links, placed = _settled(C.written(live, "live"), sets_of(family, "shingles"))
 
-    # pairs of rows that were not compared yet
-    rest = entries.select("bucket", "_row", "lead").join(placed, "_row")
+    # pairs of rows that were not compared yet; a row without a family is its own
+    rest = entries.select("bucket", "_row", "lead").join(C.written(placed, "placed"), "_row", "left").withColumns({"family": F.coalesce("family", "_row"), "block": F.coalesce("block", F.lit(0))})
     cell = F.struct("family", "block")
     mixed = rest.groupBy("bucket").agg((F.min(cell) != F.max(cell)).alias("mixed")).where("mixed").select("bucket")
     rest = C.written(rest.join(mixed, "bucket").join(size("n", "_row"), "_row"), "rest")
     other = rest.select("bucket", F.col("_row").alias("other"), F.col("n").alias("m"), F.col("family").alias("family2"), F.col("block").alias("block2"))
     pairs = rest.where("lead").join(other, "bucket").where("(family <> family2 or block <> block2 and least(block, block2) >= 0) and n <= m").where(F.col("n") >= COPY_SHARE * F.col("m") - 1e-6)
-    pairs = pairs.select(F.least("_row", "other").alias("x"), F.greatest("_row", "other").alias("y")).distinct()
+    pairs = C.written(pairs.select(F.least("_row", "other").alias("x"), F.greatest("_row", "other").alias("y")).distinct(), "pairs")
+    ids = lambda: C.written(pairs.select(F.explode(F.array("x", "y")).alias("_row")).distinct(), "ids")
     of = lambda df, name: df.select(F.col("_row").alias(name), F.col("grams").alias(f"g{name}"), *([F.col("n").alias(f"n{name}")] if "n" in df.columns else []))
     common = F.size(F.array_intersect("gx", "gy"))
-    pairs = pairs.join(of(firsts, "x"), "x").join(of(firsts, "y"), "y").where(_could(common, F.col("nx"), F.col("ny"))).select("x", "y")
+    some = C.written(firsts.drop("_key").join(ids(), "_row", "left_semi"), "some")
+    pairs = C.written(pairs.join(of(some, "x"), "x").join(of(some, "y"), "y").where(_could(common, F.col("nx"), F.col("ny"))).select("x", "y"), "pairs")
+    sets = sets_of(ids(), "sets")
     pairs = pairs.join(of(sets, "x"), "x").join(of(sets, "y"), "y")
     across = pairs.where(common >= COPY_SHARE * (F.size("gx") + F.size("gy") - common) - 1e-9).select("y", "x")
     groups = components(links.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
