@@ -92,16 +92,14 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     clash = C.written(ends.where("low <> high").select("digest"), "dedup-clash")
     out = table.join(state, "digest").select("_row", "key", F.col("best.key").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_row") == F.col("best._row")).alias("kept"), "digest", F.col("best.locator").alias("locator"))
     if not clash.isEmpty() or digest is not sha256:
-        out = _apart(docs, key, text, digest, clash, out)
+        out = _apart(docs, key, text, digest, clash)
     return out.select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "locator")
 
 
-def _apart(docs: DataFrame, key: str, text: str, digest, clash: DataFrame, out: DataFrame) -> DataFrame:
-    """out with the rows of clashing digests judged by their texts, and every digest the real one."""
-    rows = C.with_row(docs.select(F.col(key).alias("key"), normalised(F.col(text)).alias("_text"))).withColumn("digest", digest(F.col("_text")))
-    rows = C.written(rows.select("_row", "key", "_text", "digest", F.input_file_name().alias("locator")), "dedup-texts")
-    odd = rows.join(clash, "digest", "left_semi")
-    group = odd.groupBy("_text").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "_row", "locator")).alias("best"), F.count("*").alias("n"))
-    odd = odd.select("_row", "key", "_text").join(group, "_text").select("_row", "key", F.col("best.key").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_row") == F.col("best._row")).alias("kept"), F.col("best.locator").alias("locator"), sha256(F.col("_text")).alias("digest"))
-    rest = out.join(clash, "digest", "left_anti").drop("digest").join(rows.select("_row", sha256(F.col("_text")).alias("digest")), "_row")
-    return rest.unionByName(odd)
+def _apart(docs: DataFrame, key: str, text: str, digest, clash: DataFrame) -> DataFrame:
+    """All rows with clashing digests told apart by their texts, and every digest the real one; rows are numbered and written anew, so that no two readings are mixed."""
+    rows = C.with_row(docs.select(F.col(key).alias("key"), normalised(F.col(text)).alias("_text"), F.input_file_name().alias("locator"))).withColumn("_d", digest(F.col("_text")))
+    rows = C.written(rows, "dedup-texts").join(clash.select(F.col("digest").alias("_d"), F.lit(True).alias("_odd")), "_d", "left")
+    rows = rows.select("_row", "key", "locator", sha256(F.col("_text")).alias("digest"), "_d", F.when(F.col("_odd"), F.col("_text")).otherwise("").alias("_part"))
+    group = rows.groupBy("_d", "_part").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "_row", "locator")).alias("best"), F.count("*").alias("n"))
+    return rows.drop("locator").join(group, ["_d", "_part"]).select("key", F.col("best.key").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_row") == F.col("best._row")).alias("kept"), "digest", F.col("best.locator").alias("locator"))

@@ -115,6 +115,7 @@ def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
     rows = C.written(rows.mapInArrow(_sums, f"file string, at bigint, key {kind}, n_tokens bigint, ids_crc32 bigint"), "sums")
     # one row a file, then rows within their file
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
+    files = files.select("file", (F.sum("n").over(Window.orderBy(number, "file")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at")) - F.col("n_tokens")
     return rows.withColumn("within", within).join(files, "file").select(F.col("key").alias(key), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

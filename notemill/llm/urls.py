@@ -3,7 +3,7 @@
 Rules are (host, path, verdict). Their strings host + path are hashed to 64 bits and dealt to shards by hash; a shard is an
 array of sorted hashes with the strings behind it. URLs give the strings that could be a rule (each suffix of the host at
 a dot, with each prefix of the path as long as some rule's path); the distinct ones are dealt to the same shards, where the
-array is mapped from a file of the task's own, probed by vectorised binary search, and each hit is confirmed by its full
+array is mapped from a file of the task's own (every task that has some of the shard's candidates gets a copy of it), probed by vectorised binary search, and each hit is confirmed by its full
 string, so that equal hashes cannot mislead.
 """
 
@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules in a shard on average.
-SHARD_RULES = 500_000
+from notemill.llm import common as C
+
+#: Rules in a shard, and candidates that one task probes it with, on average.
+SHARD_RULES, SHARD_PROBES = 500_000, 1_000_000
 
 
 def host(url: Column) -> Column:
@@ -65,8 +67,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
 
     rules: host, path, verdict ("allow" or "block"). A rule fits its host and all subdomains where the path starts with the
     rule's. Longest: by the length of host and path together, then of the host; a rule given twice blocks if either does. No rule:
-    `default`. Null URLs and those without :// have empty host and path. Repeated rows and null keys are judged row by row;
-    either table may be empty. Rules with a null part never fit.
+    `default`. Null URLs and those without :// have empty host and path. Repeated rows and null keys are judged row by row, URLs of any length whole;
+    either table may be empty. Rules with a null part never fit. Other columns of either table are ignored, whatever their names.
     """
     spark = pages.sparkSession
     kind = pages.schema[key].dataType.simpleString()
@@ -85,7 +87,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     distinct = rows.select("host", F.explode("prefixes").alias("prefix")).distinct()
     pairs = distinct.select("host", "prefix", F.explode(suffixes).alias("suffix"))
     probes = pairs.select(F.concat("suffix", "prefix").alias("cand"), F.length("suffix").alias("host_chars")).distinct().withColumn("h", hashed(F.col("cand"))).withColumn("shard", shard)
-    hits = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(lambda k, p, r: _probe(k, r, p), "cand string, verdict string, host_chars int")
+    probes = C.written(probes, "probes")
+    # a shard's candidates are dealt to tasks of bounded size
+    parts = probes.count() // (shards * SHARD_PROBES) + 1
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("cand", "host_chars"), F.lit(parts)))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    hits = probes.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(lambda k, p, r: _probe(k, r, p), "cand string, verdict string, host_chars int")
     best = F.max(F.struct(F.length("cand").alias("n"), F.col("host_chars"), F.col("cand"), F.col("verdict"))).alias("best")
     judged = pairs.select("host", "prefix", F.concat("suffix", "prefix").alias("cand"), F.length("suffix").alias("host_chars")).join(hits, ["cand", "host_chars"]).groupBy("host", "prefix").agg(best)
     # a row's prefixes are few: the longest rule over them
