@@ -148,3 +148,21 @@ def votes(spans: DataFrame, rule: str, models: int) -> DataFrame:
     counted = spans.groupBy(*SPAN).agg(F.countDistinct("model").alias("n_models"))
     least = {"union": 1, "intersection": models, "majority": models // 2 + 1}[rule]
     return counted.where(F.col("n_models") >= least)
+
+
+def multilabel(df: DataFrame, key: str, label: str, truth: str, guess: str) -> DataFrame:
+    """One row: macro, micro and weighted precision, recall and f1 over labels, Hamming loss and the share of keys with every label right. df: a row for each key and label, with 0 or 1."""
+    per = df.groupBy(label).agg(F.sum(F.col(truth) * F.col(guess)).alias("tp"), F.sum(guess).alias("g"), F.sum(truth).alias("t"))
+    p, r = ratio(F.col("tp"), F.col("g")), ratio(F.col("tp"), F.col("t"))
+    per = per.select("tp", "g", "t", p.alias("p"), r.alias("r"), ratio(2 * p * r, p + r).alias("f"))
+    weighted = lambda c: ratio(F.sum(F.col(c) * F.col("t")), F.sum("t"))
+    sums = per.agg(
+        F.avg("p").alias("precision_macro"), F.avg("r").alias("recall_macro"), F.avg("f").alias("f1_macro"), ratio(F.sum("tp"), F.sum("g")).alias("precision_micro"), ratio(F.sum("tp"), F.sum("t")).alias("recall_micro"),
+        weighted("p").alias("precision_weighted"), weighted("r").alias("recall_weighted"), weighted("f").alias("f1_weighted"),
+    )
+    pm, rm = F.col("precision_micro"), F.col("recall_micro")
+    sums = sums.withColumn("f1_micro", ratio(2 * pm * rm, pm + rm))
+    exact = df.groupBy(key).agg(F.min((F.col(truth) == F.col(guess)).cast("int")).alias("same"), F.sum((F.col(truth) != F.col(guess)).cast("int")).alias("wrong"), F.count("*").alias("n"))
+    losses = exact.agg((F.sum("wrong") / F.sum("n")).alias("hamming_loss"), F.avg(F.col("same").cast("double")).alias("subset_accuracy"))
+    both = sums.crossJoin(F.broadcast(losses))
+    return both.select(*[F.round(c, 6).alias(c) for c in both.columns])
