@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from notemill.operators import comorbidity as C
+from notemill.operators import doctypes as T
 from notemill.operators import entities as E
 from notemill.operators import expansion as X
-from notemill.operators import phi as P
+from notemill.operators import note_quality as G
 from notemill.operators import scoring as R
 from notemill.operators import search
 from notemill.operators import summaries as Y
-from notemill.operators import vitals as V
-from notemill.plans.clinical_queries import NER, NOTES, PHI_TYPES
+from notemill.plans import clinical_queries, context_queries, note_queries, scoring_queries
+from notemill.plans.clinical_queries import NER, NOTES
 from notemill.plans.monitor_queries import _pairs, _span_votes
 from notemill.sources import notes as N
 from notemill.sources import store
@@ -57,24 +59,67 @@ def sink_entities(spark, sf):
     return store.entity_rows(E.extract(N.notes(spark, sf), "note_id"), "note_id")
 
 
-def sink_audit(spark, sf):
+def sink_metrics(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     return store.exposition(d.groupBy("lang").agg(F.count("*").alias("n")), "documents_total", "lang", "n")
 
 
+def sink_audit(spark, sf):
+    """The rows that analysing each document would append."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return store.audit_rows(d, "analyse", "rules-1", "doc_id", status=F.when(F.length("text") > 0, 200).otherwise(422))
+
+
+def sink_predictions(spark, sf):
+    r = R.risk(N.notes(spark, sf), "note_id")
+    return store.predictions(r, ["risk_level"], "risk", "rules-1", "note_id")
+
+
+def sink_unprocessed(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("document_id"))
+    return store.unprocessed(d, d.where("document_id % 3 = 0"))
+
+
+def sink_frames(spark, sf):
+    return store.server_sent(spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name"), "nation")
+
+
+def job_progress(spark, sf):
+    """By customer as a job: orders, those that are done, and the share."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("total"), F.sum((F.col("o_orderstatus") == "F").cast("bigint")).alias("done"))
+    return o.withColumn("progress", store.progress(F.col("total"), F.col("done")))
+
+
 def seed_codes(spark, sf):
     rules = spark.createDataFrame([(c, t) for _, c, t, _ in R.ICD_RULES], "code string, description string")
     return store.new_only(rules, rules.where("code < 'G'"), "code").withColumn("chapter", R.chapter(F.col("code")))
 
 
+#: Modules of the composed pipeline that give spans or codes, and the query that each must agree with.
+MODULES = {
+    "entities": "ner_rules", "phi": "phi_detect", "vitals": "vitals_extract", "codes": "icd_rules", "comorbidities": "charlson_text", "medications": "med_extract", "allergies": "allergy_extract", "temporal": "temporal_extract",
+    "determinants": "sdoh_extract", "sections": "sections_parse", "relations": "relations", "concepts": "concept_normalise",
+}
+
+
 def pipeline_enhanced(spark, sf):
-    """A row a note with what each module found in its original text."""
+    """A row a note: how much each module found in its original text, document type, quality grade and risk level. What modules find is counted in one shuffle of ids."""
+    from notemill.plans import catalog
+
     n = N.notes(spark, sf)
-    per = lambda df, name: df.groupBy("note_id").agg(F.count("*").alias(name))
-    out = n.select("note_id").join(per(E.extract(n, "note_id"), "entities"), "note_id", "left")
-    out = out.join(per(P.detect(n, "note_id", types=PHI_TYPES), "phi"), "note_id", "left").join(per(V.extract(n, "note_id"), "vitals"), "note_id", "left")
-    out = out.join(per(R.icd_codes(n, "note_id"), "codes"), "note_id", "left").join(per(C.match_text(n, "note_id"), "comorbidities"), "note_id", "left")
-    return out.na.fill(0).join(R.risk(n, "note_id").select("note_id", "risk_level"), "note_id")
+    found = [catalog.QUERIES[query](spark, sf).select("note_id", F.lit(name).alias("module")) for name, query in MODULES.items()]
+    counts = reduce(lambda a, b: a.unionByName(b), found).groupBy("note_id").pivot("module", list(MODULES)).agg(F.count(F.lit(1)))
+    out = n.select("note_id").join(counts, "note_id", "left").na.fill(0)
+    for one in (T.classify(n, "note_id").select("note_id", "doc_type"), G.report(n, "note_id").select("note_id", "grade"), R.risk(n, "note_id").select("note_id", "risk_level")):
+        out = out.join(one, "note_id")
+    return out
+
+
+def _enhanced_sql() -> str:
+    known = {**clinical_queries.ORACLES, **context_queries.ORACLES, **scoring_queries.ORACLES, **note_queries.ORACLES}
+    joins = "".join(f" left join (select note_id, count(*) as {name} from ({known[query]}) group by note_id) as m_{name} using (note_id)" for name, query in MODULES.items())
+    rows = "".join(f" join (select note_id, {c} from ({known[query]})) as r_{c} using (note_id)" for query, c in (("doc_class", "doc_type"), ("quality_scores", "grade"), ("risk_total", "risk_level")))
+    return f"with {NOTES} select note_id, {', '.join(f'coalesce({name}, 0) as {name}' for name in MODULES)}, doc_type, grade, risk_level from notes{joins}{rows}"
 
 
 PART = "['htn', 'heart attack', 'shortness of breath', 'chest pain', 'copd', 'fever', 'mi', 'routine visit', 'type 2 diabetes', 'anemia']"
@@ -89,6 +134,13 @@ r as (select *, row_number() over (partition by query_id order by s.step, other)
 select query_id, rank, other, s.source as source from r where rank <= 10""",
     "sink_documents": "select doc_id as document_id, sha256(text) as content_hash, 'import' as source, false as is_processed from documents",
     "sink_entities": NER + """ select note_id as document_id, type as entity_type, match as text, start as start_char, "end" as end_char, 0.9::double as confidence, 'rules-1' as model_version from ner""",
-    "sink_audit": """select 'documents_total{lang="' || lang || '"} ' || count(*) as line from documents group by lang""",
+    "sink_metrics": """select 'documents_total{lang="' || lang || '"} ' || count(*) as line from documents group by lang""",
+    "sink_audit": "select 'analyse' as action, 'document' as resource_type, doc_id::varchar as resource_id, sha256(text) as document_hash, 'rules-1' as model_version, case when length(text) > 0 then 200 else 422 end as status_code from documents",
+    "sink_predictions": "select note_id as document_id, 'risk' as prediction_type, 'rules-1' as model_name, '{\"risk_level\":\"' || risk_level || '\"}' as result, null::double as confidence from (" + scoring_queries.ORACLES["risk_total"] + ")",
+    "sink_unprocessed": "select doc_id as document_id from documents where doc_id % 3 <> 0",
+    "sink_frames": """select 'event: nation' || chr(10) || 'data: {"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' || chr(10) || chr(10) as frame from nation""",
+    "job_progress": "select o_custkey, count(*) as total, count(*) filter (o_orderstatus = 'F') as done, round(count(*) filter (o_orderstatus = 'F') / count(*)::double, 4) as progress from orders group by o_custkey",
+    "seed_codes": "select * from (values " + ", ".join(f"('{c}', '{t}', '{next(v for k, v in R.CHAPTERS.items() if c[0] in k)}')" for _, c, t, _ in R.ICD_RULES if c >= "G") + ") t(code, description, chapter)",
+    "pipeline_enhanced": _enhanced_sql(),
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "rerank", "textrank", "rouge_l", "partial_ner", "seed_codes", "pipeline_enhanced")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "rerank", "textrank", "rouge_l", "partial_ner")}

@@ -43,3 +43,9 @@ def server_sent(df: DataFrame, event: str) -> DataFrame:
 def exposition(counts: DataFrame, name: str, label: str, value: str) -> DataFrame:
     """line: a counter's samples as text."""
     return counts.select(F.format_string(f'{name}{{{label}="%s"}} %s', F.col(label), F.col(value).cast("string")).alias("line"))
+
+
+def audit_rows(df: DataFrame, action: str, model: str, key: str = "doc_id", text: str = "text", status: Column | None = None) -> DataFrame:
+    """action, resource_type, resource_id, document_hash (never the content), model_version, status_code: rows to append."""
+    status = status if status is not None else F.lit(200)
+    return df.select(F.lit(action).alias("action"), F.lit("document").alias("resource_type"), F.col(key).cast("string").alias("resource_id"), F.sha2(F.col(text).cast("binary"), 256).alias("document_hash"), F.lit(model).alias("model_version"), status.alias("status_code"))
