@@ -486,7 +486,9 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     ids = lambda: C.written(pairs.select(F.explode(F.array("x", "y")).alias("_row")).distinct(), "ids")
     of = lambda df, name: df.select(F.col("_row").alias(name), F.col("grams").alias(f"g{name}"), *([F.col("n").alias(f"n{name}")] if "n" in df.columns else []))
     common = F.size(F.array_intersect("gx", "gy"))
-    some = C.written(firsts.drop("_key").join(ids(), "_row", "left_semi"), "some")
+    # what first shingles two rows have in common, both have among those that other rows have too
+    some = entries.select("_row", "bucket").join(ids(), "_row", "left_semi").groupBy("_row").agg(F.collect_list("bucket").alias("grams"))
+    some = C.written(some.join(size("n", "_row"), "_row"), "some")
     pairs = C.written(pairs.join(of(some, "x"), "x").join(of(some, "y"), "y").where(_could(common, F.col("nx"), F.col("ny"))).select("x", "y"), "pairs")
     sets = sets_of(ids(), "sets")
     pairs = pairs.join(of(sets, "x"), "x").join(of(sets, "y"), "y")
