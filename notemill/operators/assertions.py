@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions import spans as S
+
 #: Triggers before an entity as (pattern, status, priority, scope in characters).
 PRE = [
     (r"\bno\s+(?:evidence\s+of\s+)?", "absent", 3, 40), (r"\bnot\s+(?:any\s+)?", "absent", 3, 40), (r"\bdenies?\s+(?:any\s+)?", "absent", 4, 60), (r"\bdenying\s+", "absent", 4, 60),
@@ -62,3 +64,29 @@ def detect(entities: DataFrame) -> DataFrame:
     blocked = F.coalesce(F.col("_pseudo") <= PSEUDO_SCOPE, F.lit(False))
     out = near.withColumns({"status": F.when(blocked, "present").otherwise(F.coalesce("_best.status", F.lit("present"))), "assertion_confidence": F.round(F.when(blocked, SURE).otherwise(F.coalesce(sure, F.lit(DEFAULT))), 6)})
     return out.drop("_after", "_later", "_pseudo", "_gaps", "_a", "_b", "_best")
+
+
+#: Headers of sections that say what their entities are, and a header that begins any other section.
+SECTIONS = [
+    (r"(?i)(?:^|\n)\s*(?:family\s+history|FH|family\s+hx)\s*[:\-]", "family"), (r"(?i)(?:^|\n)\s*(?:pertinent\s+negatives?|negatives?)\s*[:\-]", "absent"),
+    (r"(?i)(?:^|\n)\s*(?:plan|assessment\s+(?:and|&)\s+plan|A/?P|recommendations?|discharge\s+plan)\s*[:\-]", "hypothetical"),
+]
+ANY_HEADER = r"(?:^|\n)\s*[A-Z][A-Za-z\s]+:\s*(?:\n|$)"
+BY_SECTION = 0.85
+
+
+def in_sections(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, start, end, match, status, assertion_confidence, by_section of the matches of pattern: where triggers say nothing else, the section they stand in does.
+
+    The section is that of the last header of SECTIONS before the entity, unless another header stands between.
+    """
+    rules = [(pattern,), *SECTIONS]
+    raw = S.found(docs.select(key, text), rules, text, BEFORE, AFTER)
+    heads = F.filter("spans", lambda h: h["rule"] > 0)
+    last = lambda x: F.array_max(F.transform(F.filter(heads, lambda h: h["end"] <= x["start"]), lambda h: F.struct(h["end"].alias("at"), h["rule"].alias("rule"))))
+    between = lambda x: F.substring(F.col(text), (last(x)["at"] + 1).cast("int"), (x["start"] - last(x)["at"]).cast("int"))
+    said = lambda x: F.when(~between(x).rlike(ANY_HEADER), F.element_at(F.lit([s for _, s in SECTIONS]), last(x)["rule"]))
+    rows = raw.select(key, F.inline(F.transform(F.filter("spans", lambda x: x["rule"] == 0), lambda x: F.struct(x["start"], x["end"], x["match"], x["pre"], x["post"], said(x).alias("section")))))
+    judged = detect(rows)
+    by = (F.col("status") == "present") & F.col("section").isNotNull()
+    return judged.select(key, "start", "end", "match", F.when(by, F.col("section")).otherwise(F.col("status")).alias("status"), F.when(by, BY_SECTION).otherwise(F.col("assertion_confidence")).alias("assertion_confidence"), by.alias("by_section"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notemill.functions import spans as S
+from notemill.operators import assertions as A
 from notemill.operators import dental as D
 from notemill.operators import entities as E
 from notemill.operators import medications as M
 from notemill.operators import metrics as W
 from notemill.operators import risk as R
 from notemill.operators import scoring as C
+from notemill.operators import social as O
 from notemill.operators import vitals as V
 from notemill.plans.clinical_queries import NER, NOTES, _scan_sql
 from notemill.plans.scoring_queries import CONDITIONS
@@ -207,6 +209,32 @@ def _trend_sql() -> str:
 select note_id, type, value, interpretation, start, stop as "end", 0.7::double as confidence, case {" ".join(f"when regexp_matches({near}, '{p}') then '{n}'" for p, n in V.TRENDS)} else 'unknown' end as trend from w join tn using (note_id)"""
 
 
+def sdoh_context(spark, sf):
+    return O.in_context(N.notes(spark, sf), "note_id")
+
+
+def sdoh_z_codes(spark, sf):
+    return spark.createDataFrame([(d, c, t) for d, cs in O.Z_CODES.items() for c, t in cs], "domain string, code string, description string")
+
+
+def assertion_sections(spark, sf):
+    return A.in_sections(N.notes(spark, sf), CONDITIONS, "note_id")
+
+
+def _sdoh_sql() -> str:
+    raw = " union all ".join(_scan_sql("notes", "note_id", r[0], f"{i} as rule, '{r[1]}' as domain, '{r[2]}' as sentiment, {r[3]}::double as base, '{r[4]}' as trigger") for i, r in enumerate(O.RULES))
+    last = lambda t, side: f"(select max({side}) from {t} where {t}.note_id = raw.note_id and {t}.{side} <= raw.start)"
+    codes = "case domain " + " ".join(f"when '{d}' then '{','.join(c for c, _ in cs)}'" for d, cs in O.Z_CODES.items()) + " end"
+    cues = O.CUES.replace("'", "''")
+    return f"""with {NOTES}, raw as ({raw}), bg as ({_scan_sql('notes', 'note_id', O.BEGINS, '1 as one')}), ed as ({_scan_sql('notes', 'note_id', O.ENDS, '1 as one')}),
+cx as (select raw.*, "end" as stop, coalesce({last('bg', '"end"')} > coalesce({last('ed', 'start')}, -1), false) as inside, regexp_matches(substring(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)), '{cues}') as neg from raw join notes using (note_id)),
+tl as (select *, neg and sentiment <> 'neutral' as turned from cx),
+sr as (select *, case when not turned then sentiment when sentiment = 'adverse' then 'protective' else 'adverse' end as told, round(least(base + case when inside then 0.05e0 else 0 end, 1) * case when turned then 0.85e0 else 1 end, 6) as sure from tl),
+fo as (select unnest(f) as s from (select list_reduce(list_transform(list(struct_pack(note_id := note_id, domain := domain, told := told, trigger := trigger, sure := sure, start := start, stop := stop, match := match, neg := neg, inside := inside) order by -sure, start, rule), lambda x: [x]),
+  lambda acc, y: case when len(list_filter(acc, lambda k: y[1].start < k.stop and k.start < y[1].stop)) > 0 then acc else list_concat(acc, y) end) as f from sr group by note_id, domain))
+select s.note_id as note_id, s.domain as domain, s.told as sentiment, s.trigger as trigger, s.sure as confidence, s.start as start, s.stop as "end", s.match as match, s.neg as negated, s.inside as in_section, {codes.replace('case domain', 'case s.domain')} as z_codes from fo"""
+
+
 LABELS = "lb as (select o_orderkey as id, 'L' || i as label, ((o_orderkey + i) % 4 = 0)::int as truth, ((o_orderkey * 3 + i * 5) % 7 < 2)::int as guess from orders, range(6) r(i))"
 ORACLES = {
     "dental_entities": _dental_sql() + " select * from de",
@@ -217,6 +245,8 @@ ORACLES = {
     "risk_unit": _risk_unit_sql(),
     "med_details": _med_details_sql(),
     "vitals_trend": _trend_sql(),
+    "sdoh_context": _sdoh_sql(),
+    "sdoh_z_codes": "select * from (values " + ", ".join(f"('{d}', '{c}', '{t}')" for d, cs in O.Z_CODES.items() for c, t in cs) + ") t(domain, code, description)",
     "multilabel_metrics": f"""with {LABELS}, pl as (select label, sum(truth * guess) as tp, sum(guess) as g, sum(truth) as t from lb group by label),
 pr as (select *, case when g > 0 then tp / g::double else 0 end as p, case when t > 0 then tp / t::double else 0 end as r from pl), f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from pr),
 ex as (select avg(same) as subset_accuracy from (select id, min((truth = guess)::int)::double as same from lb group by id)), h as (select avg((truth <> guess)::int) as hamming_loss from lb),
@@ -228,4 +258,4 @@ r as (select *, sum((tag[1:1] <> 'I')::int) over (partition by doc order by plac
 h as (select *, first_value(tag) over (partition by doc, run order by place) as head from r)
 select doc, head[3:] as type, min(start) as start, max(stop) as "end", count(*) as n_tokens from h where head[1:1] = 'B' group by doc, run, head""",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "assertion_sections")}

@@ -18,7 +18,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/notemill-shared"
+    """A new folder that all executors see: below spark.checkpoint.dir; a local one only where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.gettempdir() + "/notemill-shared"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -200,3 +200,26 @@ def test_abbreviations(spark, text, want):
 def test_abbreviations_written_out(spark):
     docs = spark.createDataFrame([(1, "HTN and n/v"), (2, None)], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in B.rewrite(docs).collect()} == {1: "HTN (hypertension) and n/v (nausea and vomiting)", 2: None}
+
+
+@pytest.mark.parametrize(("text", "status", "by_section"), [
+    ("FAMILY HISTORY: stroke", "family", True), ("PERTINENT NEGATIVES: stroke", "absent", True), ("PLAN: stroke workup", "hypothetical", True), ("FAMILY HISTORY: none\nHPI:\nstroke", "present", False),
+    ("FAMILY HISTORY: denies stroke", "absent", False), ("stroke", "present", False), ("HPI: stroke", "present", False),
+])
+def test_assertions_by_section(spark, text, status, by_section):
+    got = A.in_sections(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "(?i)stroke").first()
+    assert (got.status, got.by_section) == (status, by_section)
+
+
+@pytest.mark.parametrize(("text", "sentiment", "confidence", "inside"), [
+    ("SOCIAL HISTORY: homeless", "adverse", 0.97, True), ("denies being homeless", "protective", 0.782, False), ("SOCIAL HISTORY: x\nPLAN: homeless", "adverse", 0.92, False), ("no stable housing", "adverse", 0.7225, False), ("not retired", "neutral", 0.82, False),
+])
+def test_social_context(spark, text, sentiment, confidence, inside):
+    got = O.in_context(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (got.sentiment, round(got.confidence, 4), got.in_section) == (sentiment, confidence, inside)
+
+
+def test_partial_matches(spark):
+    gold = spark.createDataFrame([(1, "A", 0, 10), (1, "B", 20, 30)], "doc_id int, type string, start int, end int")
+    guess = spark.createDataFrame([(1, "A", 0, 5), (1, "A", 20, 30), (2, "A", 0, 3)], "doc_id int, type string, start int, end int")
+    assert {r.doc_id: (r.credit, r.n_gold, r.n_guess) for r in Y.partial_matches(gold, guess).collect()} == {1: (1.0, 2, 2), 2: (0.0, 0, 1)}
