@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import bpe, common, decontaminate, exact_dedup, hilbert, lines, quality, secrets, simhash, token_files, urls
+from notemill.llm import bpe, common, decontaminate, exact_dedup, hilbert, lines, merkle, neighbours, quality, repair, secrets, simhash, token_files, urls
 
 
 def tokenizer(name: str) -> str:
@@ -74,4 +74,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("good_prob", 6).alias("good_prob"), "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_exact_dedup, op4_secrets, op5_urls, op6_line_dedup, op7_hilbert, op8_simhash, op9_token_files, op10_quality)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search (factor 1): on vectors without clusters a larger one saves little before it loses neighbours."""
+    return neighbours.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(common.table(spark, sf_dir, "documents"), tampered=lower, changed=changed).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(common.table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_exact_dedup, op4_secrets, op5_urls, op6_line_dedup, op7_hilbert, op8_simhash, op9_token_files, op10_quality, op11_neighbours, op12_merkle, op13_repair)}
