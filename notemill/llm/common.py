@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,35 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What written() writes inside is removed at the end, but for what the function that it gives (as written()) writes."""
+    paths: list[str] = []
+    _scratch.append(paths)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = written(df, tag)
+        paths.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage is cut, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

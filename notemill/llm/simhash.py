@@ -400,12 +400,13 @@ def _links(group: pa.Table) -> pa.Table:
 
 
 def _settled(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links a, b within families; _row, family, block of each row). live: _row, family, n and the parts of the key.
+    """(links a, b within families; _row, cell of each row). live: _row, family, n and the parts of the key.
 
-    A family is cut into blocks of bounded size, each compared whole; what stays is dealt to new blocks, until a family is one block or
-    hardly anything goes any more. block is where a row was last compared, -1 for one that went in a family of several blocks.
+    A family is cut into blocks of bounded size, each compared whole; the first row of each group found there stands for it and is dealt to new
+    blocks, until a family is one block or hardly any groups meet any more. Of rows with equal cells all links, or some that tie the same rows together, are known:
+    a cell is a family that was one block from the start, else a group.
     """
-    links = placed = None
+    links = cells = None
     level = 0
     while True:
         sizes = live.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
@@ -415,18 +416,18 @@ def _settled(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         some = dealt.where("rows > 1").select("family", "block", "_row", "none", "key", "file", "at").join(sets, "_row")
         found = C.written(some.groupBy("family", "block").applyInArrow(_links, "a bigint, b bigint"), "copies")
         links = found if links is None else links.union(found)
-        large, went = dealt.where("blocks > 1"), found.select(F.col("a").alias("_row"))
+        if cells is None:
+            cells = dealt.select("_row", F.when(F.col("blocks") == 1, F.col("family")).alias("cell"))
+        large = dealt.where("blocks > 1")
         before = large.count()
-        last = not before or large.join(went, "_row", "left_semi").count() < 0.05 * before
-        rest = large.join(went, "_row", "left_anti")
-        gone = large.join(went, "_row", "left_semi").select("_row", "family", F.lit(-1).cast("bigint").alias("block"))
-        done = dealt.where("blocks = 1").select("_row", "family", "block").union(gone)
-        done = done.union(rest.select("_row", "family", "block")) if last else done
-        placed = done if placed is None else placed.union(done)
-        if last:
-            return links, placed
-        live = C.written(rest.drop("rows", "blocks", "block"), "live")
-        level += 1
+        rest = C.written(large.join(found.select(F.col("a").alias("_row")), "_row", "left_anti").drop("rows", "blocks", "block"), "live")
+        # when this stops is a matter of work only: groups that have not met yet are compared through their buckets
+        if not before or rest.count() > 0.95 * before:
+            break
+        live, level = rest, level + 1
+    groups = components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).toDF("_row", "root")
+    cells = cells.join(groups, "_row", "left").select("_row", F.coalesce("cell", "root", "_row").alias("cell"))
+    return links, C.written(cells, "cells")
 
 
 def near_copies(keys: C.Keyed) -> DataFrame:
@@ -434,15 +435,19 @@ def near_copies(keys: C.Keyed) -> DataFrame:
 
     Two texts are linked if they share COPY_SHARE of their distinct 5-word shingles (words: A-Z lower-cased, cut at ASCII white space; a
     shorter text is one shingle; texts without words, null and empty ones too, are linked to each other only). Of the rows that links
-    connect the smallest stays. No two rows that stay are linked, whatever the size of a group; only chains of links within a family of
-    more than one block may be followed in part, as rows that went there are not compared with those of its other blocks.
+    connect the smallest stays, whatever the size of a group: COPY_ROWS and COPY_GRAMS change the work, not the result. Very long texts are taken whole.
     Rows are ordered by key, null keys last, repeated rows by their place; each is judged by itself. An empty table gives no rows.
 
     Candidates: rows that could be linked have a shingle in common among the first of each, in any one order for all rows; frequent ones
     come last. A bucket holds the rows with a shingle among their first. Families are what the fingerprint trees and, within buckets, each row with the first and the one before it
     tie together, if they have a quarter of what they need in common there; they are compared in whole blocks, so that only pairs
-    of different families are made from the buckets.
+    of different families, or of different groups of a family of several blocks, are made from the buckets. What is written on the way is removed at the end.
     """
+    with C.scratch(keys.rows.sparkSession) as keep:
+        return keep(_near_copies(keys), "copies")
+
+
+def _near_copies(keys: C.Keyed) -> DataFrame:
     rows, spark = keys.rows, keys.rows.sparkSession
     kind = rows.schema["_key"].dataType.simpleString()
     often = spark.sparkContext.broadcast(_often(rows))
@@ -473,15 +478,14 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     roots = components(edges)
     family = C.written(roots.union(roots.select("root", "root").distinct()).toDF("_row", "family"), "family")
     live = firsts.select("_row", "n", F.col("_key.none").alias("none"), F.col("_key.key").alias("key"), F.col("_key.file").alias("file"), F.col("_key.at").alias("at")).join(family, "_row")
-    links, placed = _settled(C.written(live, "live"), sets_of(family, "shingles"))
+    links, cells = _settled(C.written(live, "live"), sets_of(family, "shingles"))
 
     # pairs of rows that were not compared yet; a row without a family is its own
-    rest = entries.select("bucket", "_row", "lead").join(C.written(placed, "placed"), "_row", "left").withColumns({"family": F.coalesce("family", "_row"), "block": F.coalesce("block", F.lit(0))})
-    cell = F.struct("family", "block")
-    mixed = rest.groupBy("bucket").agg((F.min(cell) != F.max(cell)).alias("mixed")).where("mixed").select("bucket")
+    rest = entries.select("bucket", "_row", "lead").join(cells, "_row", "left").withColumn("cell", F.coalesce("cell", "_row"))
+    mixed = rest.groupBy("bucket").agg((F.min("cell") != F.max("cell")).alias("mixed")).where("mixed").select("bucket")
     rest = C.written(rest.join(mixed, "bucket").join(size("n", "_row"), "_row"), "rest")
-    other = rest.select("bucket", F.col("_row").alias("other"), F.col("n").alias("m"), F.col("family").alias("family2"), F.col("block").alias("block2"))
-    pairs = rest.where("lead").join(other, "bucket").where("(family <> family2 or block <> block2 and least(block, block2) >= 0) and n <= m").where(F.col("n") >= COPY_SHARE * F.col("m") - 1e-6)
+    other = rest.select("bucket", F.col("_row").alias("other"), F.col("n").alias("m"), F.col("cell").alias("cell2"))
+    pairs = rest.where("lead").join(other, "bucket").where("cell <> cell2 and n <= m").where(F.col("n") >= COPY_SHARE * F.col("m") - 1e-6)
     pairs = C.written(pairs.select(F.least("_row", "other").alias("x"), F.greatest("_row", "other").alias("y")).distinct(), "pairs")
     ids = lambda: C.written(pairs.select(F.explode(F.array("x", "y")).alias("_row")).distinct(), "ids")
     of = lambda df, name: df.select(F.col("_row").alias(name), F.col("grams").alias(f"g{name}"), *([F.col("n").alias(f"n{name}")] if "n" in df.columns else []))
@@ -496,4 +500,4 @@ def near_copies(keys: C.Keyed) -> DataFrame:
     groups = components(links.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     groups = C.written(groups.union(groups.select("root", "root").distinct()).toDF("_row", "root").join(firsts.select("_row", "_key"), "_row"), "groups")
     least = groups.groupBy("root").agg(F.min("_key").alias("least"))
-    return C.written(groups.join(least, "root").where("_key <> least").select("_key"), "copies")
+    return groups.join(least, "root").where("_key <> least").select("_key")
