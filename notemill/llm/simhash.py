@@ -244,8 +244,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 #: What a near copy is: the share of 5-word shingles that two texts have in common.
 COPY_WORDS, COPY_SHARE = 5, 0.8
-#: Rows and shingles of a block on average: what one task compares at once.
-COPY_ROWS, COPY_GRAMS = 4096, 1 << 22
+#: Rows and shingles of a block on average: what one task compares at once, in about 100 bytes a shingle.
+COPY_ROWS, COPY_GRAMS = 4096, 1 << 20
 #: Rows whose shingles say on average which ones are frequent, and how many of those are kept. They give the order of shingles only, never the result.
 OFTEN_ROWS, OFTEN = 8192, 1 << 17
 
@@ -362,13 +362,17 @@ def _could(common, n, m) -> Column:
 def linked(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """For each of some rows (their shingle sets one after the other) the smallest row that it is linked to, over others too."""
     n = len(sizes)
-    owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(grams, kind="stable")
-    gram, at = grams[order], owner[order]
-    start = np.searchsorted(gram, gram)  # of each shingle's run of rows
-    stop = np.searchsorted(gram, gram, "right")
-    mine, lows, highs = [np.empty(len(order), np.int64) for _ in range(3)]
-    mine[order], lows[order], highs[order] = stop - start, start, stop
+    gram = grams[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    begin = np.flatnonzero(new).astype(np.int32)  # of each shingle's run of rows
+    run = np.cumsum(new, dtype=np.int32) - 1
+    at = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    of = np.empty(len(order), np.int32)
+    of[order] = run
+    del gram, new, run, order
+    length_of = np.diff(np.append(begin, len(at))).astype(np.int32)
     ends, root = np.concatenate([[0], np.cumsum(sizes)]), np.full(n, -1)
     for seed in range(n):
         if root[seed] >= 0:
@@ -376,10 +380,9 @@ def linked(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
         root[seed], todo = seed, [seed]
         while todo:
             i = todo.pop()
-            own = slice(ends[i], ends[i + 1])
-            some = mine[own] > 1
-            low, high = lows[own][some], highs[own][some]
-            length = high - low
+            mine = of[ends[i] : ends[i + 1]]
+            mine = mine[length_of[mine] > 1]
+            low, length = begin[mine], length_of[mine]
             places = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(length) else np.zeros(0, np.int64)
             common = np.bincount(at[places], minlength=n)
             alike = np.flatnonzero((common >= COPY_SHARE * (sizes[i] + sizes - common) - 1e-9) & (root < 0))
