@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces and pairs that a worker remembers at most, and the longest such piece.
-CACHE_PIECES, CACHE_CHARS, FITS_PAIRS = 500_000, 64, 1_000_000
+CACHE_PIECES, CACHE_CHARS, FITS_PAIRS = 150_000, 64, 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
