@@ -11,10 +11,11 @@ from notemill.operators import phi as P
 from notemill.operators import sections as X
 from notemill.operators import vitals as V
 from notemill.sources import notes as N
+from notemill.sources.scan import spread
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def notes_table(spark, sf):

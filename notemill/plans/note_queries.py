@@ -146,7 +146,7 @@ qu as (select note_id, round(completeness, 2) as completeness, round(readability
 
 
 def _abbrev_sql() -> str:
-    plain = {k: (d, *e) for d, entries in A.DICTIONARY.items() for k, e in entries.items()}
+    plain = A.entries()
     line = f"{[*EXTRA]}"
     ext = NOTES.replace("notes as materialized (", "base as (") + f", notes as materialized (select note_id, text || chr(10) || {line}[(note_id % {len(EXTRA)} + 1)::int] as text from base)"
     spans = " union all ".join(_scan_sql("notes", "note_id", p, "1 as one") for p in A.patterns({*plain, *A.SENSES}))

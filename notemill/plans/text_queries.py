@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.operators import search
+from notemill.sources.scan import spread
 
 QUERY = "nicht thing ention the"
 SP = T.SPACE
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
 
 
 def _strip(x: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notemill.sources.scan import spread
+
 
 def _pick(key: str, options: list[str]) -> str:
     """A CASE over key modulo the number of options."""
@@ -33,5 +35,6 @@ SQL = f"select {K} as note_id, {C} as patient_id, " + " || ".join(PARTS) + " as
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """note_id, patient_id, text: a note for each order."""
-    return spark.sql(SQL.replace(" from orders", " from {orders}").replace("as varchar(12)", "as string"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """note_id, patient_id, text: a note for each order. Rows are spread before they become texts, which are some fifty times larger."""
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C), K)
+    return spark.sql(SQL.replace(" from orders", " from {orders}").replace("as varchar(12)", "as string"), orders=orders)

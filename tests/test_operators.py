@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from notemill.functions import spans as S
 from notemill.operators import abbreviations as B
 from notemill.operators import allergies as L
@@ -223,3 +224,106 @@ def test_partial_matches(spark):
     gold = spark.createDataFrame([(1, "A", 0, 10), (1, "B", 20, 30)], "doc_id int, type string, start int, end int")
     guess = spark.createDataFrame([(1, "A", 0, 5), (1, "A", 20, 30), (2, "A", 0, 3)], "doc_id int, type string, start int, end int")
     assert {r.doc_id: (r.credit, r.n_gold, r.n_guess) for r in Y.partial_matches(gold, guess).collect()} == {1: (1.0, 2, 2), 2: (0.0, 0, 1)}
+
+
+# rules as data ----------------------------------------------------------------------------------------------------
+def _all_phrases(text, rules):
+    """By looking for each phrase at each place."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
+    wordy = lambda c: c == "_" or c.isalnum()
+    out = set()
+    for name, phrase, entry in rules:
+        p = (phrase or "").lower()
+        for a in range(len(low) - len(p) + 1) if p else ():
+            b = a + len(p)
+            if low[a:b] == p and not (wordy(p[0]) and a and wordy(low[a - 1])) and not (wordy(p[-1]) and b < len(low) and wordy(low[b])):
+                out.add((name, entry, a, b, text[a:b]))
+    return sorted(out, key=lambda x: (x[2], x[3], x[0], x[1] or ""))
+
+
+RULES = [("d", "a", "1"), ("d", "ab", "2"), ("d", "a b", "3"), ("e", "b", "4"), ("e", "n/v", "5"), ("e", "n/v/d", "6"), ("d", "é", "7"), ("e", "-b", "8"), ("e", "A", "1"), ("d", "a", "1"), ("d", "", "9"), ("d", None, "9"), ("f", "b a", None)]
+
+
+@pytest.mark.parametrize("part_chars", [4, 1_000_000])
+def test_phrases_against_every_place(spark, part_chars):
+    from notemill.functions import phrases as P
+
+    rng = np.random.default_rng(5)
+    texts = [None, "", "İA b", "x" * 5000 + " a b"] + ["".join(rng.choice(list("ab ABn/vd-é_1İ"), int(rng.integers(1, 30)))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, "a b"), (None, "a b")], "doc_id int, text string").withColumn("rules", F.lit("x"))
+    rules = spark.createDataFrame(RULES, "rules string, phrase string, entry string")
+    got = P.with_phrases(docs, rules, part_chars=part_chars).collect()
+    assert len(got) == len(texts) + 2 and all([tuple(s) for s in r.phrases] == _all_phrases(r.text, RULES) for r in got)
+    assert all(r.phrases == [] for r in P.with_phrases(docs, rules.limit(0)).collect())
+    assert P.with_phrases(docs.limit(0), rules).count() == 0
+
+
+def test_leftmost_phrases(spark):
+    from notemill.functions import phrases as P
+
+    docs = spark.createDataFrame([(1, "a b a bb n/v/d"), (2, None)], "doc_id int, text string")
+    rules = spark.createDataFrame([("d", "a", "1"), ("d", "a b", "2"), ("d", "b a", "3"), ("e", "b", "4"), ("e", "n/v", "5"), ("e", "n/v/d", "6"), ("e", "n/v/d", "7")], "rules string, phrase string, entry string")
+    got = {r.doc_id: [(s.rules, s.entry, s.start, s.end) for s in r.p] for r in P.with_phrases(docs, rules).select("doc_id", P.leftmost(F.col("phrases")).alias("p")).collect()}
+    assert got == {1: [("d", "2", 0, 3), ("e", "4", 2, 3), ("d", "1", 4, 5), ("e", "6", 9, 14), ("e", "7", 9, 14)], 2: []}
+
+
+# the stored index -------------------------------------------------------------------------------------------------
+def test_index_equals_a_rebuild(spark, tmp_path):
+    from notemill.operators import search
+    from notemill.operators.inverted_index import Index
+
+    shape = "doc_id bigint, text string"
+    batches = [[(1, "red fox runs"), (2, "blue fox fox"), (3, None), (None, "red"), (5, "the"), (5, "green tree")], [(2, "red red whale"), (6, "fox")], [(3, "fox tree"), (7, "")]]
+    index, live = Index(spark, str(tmp_path / "index")), {}
+    assert index.bm25("fox").collect() == [] and index.cosine("fox").collect() == []
+
+    def same(index):
+        docs = spark.createDataFrame(sorted(live.items()), shape)
+        for query in ("fox", "red fox fox tree", "zebra", "the"):
+            want = {r.doc_id: round(r.bm25, 9) for r in search.bm25(docs, query).where("bm25 > 0").collect()}
+            assert {r.doc_id: round(r.bm25, 9) for r in index.bm25(query).collect()} == want
+            if search._query_tokens(query):
+                want = {r.doc_id: round(r.cosine, 9) for r in search.cosine(docs, query).collect()}
+                assert {r.doc_id: round(r.cosine, 9) for r in index.cosine(query).collect()} == want
+
+    for n, rows in enumerate(batches):
+        index.add(spark.createDataFrame(rows, shape))
+        live.update({k: t for k, t in sorted(rows, key=lambda r: (r[0] or 0, r[1] or "")) if k is not None})
+        if n == 1:
+            index.delete(spark.createDataFrame([(1,), (1,), (99,), (None,)], "doc_id bigint"))
+            del live[1]
+        same(index)
+    # a deleted document comes back; a batch that never got its totals doesn't count
+    index.add(spark.createDataFrame([(1, "fox whale")], shape))
+    live[1] = "fox whale"
+    spark.createDataFrame([(50, 1, {"fox": 1}, 3)], "doc_id bigint, dl bigint, terms map<string,bigint>, block int").write.partitionBy("block").parquet(f"{index.folder}/forward/batch={index.last() + 1}")
+    same(index)
+    same(index.compact(str(tmp_path / "compact")))
+    assert index.totals().first().docs == len(live)
+
+
+def test_index_reads_the_blocks_of_its_words(spark, tmp_path):
+    from notemill.operators.inverted_index import Index
+
+    index = Index(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame([(i, f"word{i} common") for i in range(300)], "doc_id bigint, text string"))
+    rows = index._of(index.table("postings"), ["word7"])
+    assert len(rows.inputFiles()) > 10 and rows.count() == 1
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "EqualTo(tok,word7)" in plan
+
+
+def test_feature_space(spark):
+    from notemill.operators import feature_space as S
+
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "red whale fox"), (4, None)], "doc_id bigint, text string")
+    space = S.fit(docs, min_df=2, max_df=0.6)
+    assert [(r.tok, r.df, r.column) for r in space.orderBy("column").collect()] == [("red", 2, 0)]
+    assert [r.tok for r in S.fit(docs, min_df=1, max_df=1.0, max_features=2).orderBy("column").collect()] == ["fox", "red"]
+    new = spark.createDataFrame([(9, "red red unseen"), (8, "unseen"), (7, None)], "doc_id bigint, text string")
+    vectors = S.transform(new, S.fit(docs, min_df=1, max_df=1.0))
+    assert {r.doc_id: r.vector for r in vectors.collect()} == {9: {2: 1.0}, 8: {}, 7: {}}
+    weights = spark.createDataFrame([(2, -2.0), (0, 1.0)], "column bigint, weight double")
+    told = {r.doc_id: (r.score, [tuple(x) for x in r.for_it], [tuple(x) for x in r.against_it]) for r in S.contributions(vectors, weights).collect()}
+    assert told == {9: (-2.0, [], [(2, -2.0)]), 8: (0.0, [], []), 7: (0.0, [], [])}
+    assert S.fit(docs.limit(0)).count() == S.transform(docs.limit(0), space).count() == 0
