@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 #: White space and the split pattern of byte-level BPE.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces and pairs that a worker remembers at most, and the longest such piece.
-CACHE_PIECES, CACHE_CHARS, FITS_PAIRS = 150_000, 64, 250_000
+#: Pieces that a worker remembers at most (twice as many pairs; some 600 bytes for both), and the longest such piece.
+CACHE_PIECES, CACHE_CHARS = 500_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,7 +37,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Bpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE_PIECES):
+        self.remember = remember
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -96,7 +97,7 @@ class Bpe:
                 before, a = (ra, 0), self.parts[a][1]
             else:
                 before, b = (rb, 2), self.parts[b][0]
-        if len(self.fits_table) >= FITS_PAIRS:
+        if len(self.fits_table) >= 2 * self.remember:
             self.fits_table.clear()
         self.fits_table[pair] = good
         return good
@@ -148,7 +149,7 @@ class Bpe:
             if ids is None:
                 ids = self.encode_piece(piece.encode("utf-8"))
                 if len(piece) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_PIECES:
+                    if len(cache) >= self.remember:
                         cache.clear()
                     cache[piece] = ids
             out += ids
@@ -168,21 +169,22 @@ class Bpe:
 
 
 @lru_cache(2)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def load(path: str, remember: int = CACHE_PIECES) -> Bpe:
+    return Bpe(path, remember)
 
 
-def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False, remember: int = CACHE_PIECES) -> DataFrame:
     """Per row of docs: key, n_tokens, ids, decoded; with digests, ids_sha256 and decoded_sha256 in place of the two long columns.
 
     path: a byte-level BPE file of the tokenizers library, present on every executor. A null or empty text has no ids.
-    Repeated rows and keys are encoded one by one, null keys too. Other columns are ignored.
+    Repeated rows and keys are encoded one by one, null keys too; texts of any length are encoded whole. Other columns are ignored. remember bounds
+    a worker's memory of pieces and changes nothing else.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def run(batches):
-        bpe = load(path)
+        bpe = load(path, remember)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
