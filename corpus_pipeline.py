@@ -44,8 +44,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no ids; every row is encoded."""
-    return bpe.bpe_encode(docs, queries.tokenizer("byte_bpe_50k.json"), digests=True)
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no ids; every row is encoded. Workers that earlier stages used as well remember fewer pieces."""
+    return bpe.bpe_encode(docs, queries.tokenizer("byte_bpe_50k.json"), digests=True, remember=125_000)
 
 
 STAGES = [("quality_classifier", classified), ("exact_dedup", deduplicated), ("simhash_near_dedup", near_deduplicated), ("decontamination", decontaminated), ("bpe", tokenised)]
