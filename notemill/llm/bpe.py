@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 #: White space and the split pattern of byte-level BPE.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces that a worker remembers at most (twice as many pairs; some 600 bytes for both), and the longest such piece.
+#: Pieces that a worker remembers at most (and half as many as pairs), and the longest such piece.
 CACHE_PIECES, CACHE_CHARS = 500_000, 64
 
 
