@@ -115,9 +115,3 @@ def bag_counts(docs: DataFrame, vocabulary: DataFrame, low: int = 1, high: int =
     """key, ngram, n for the n-grams of a vocabulary."""
     grams = ngrams(docs, low, high, text, key)
     return grams.join(vocabulary.select("ngram"), "ngram").groupBy(key, "ngram").agg(F.count("*").alias("n"))
-
-
-def rank_by(df: DataFrame, score: str, by: str | None = None, key: str = "doc_id") -> DataFrame:
-    """df with rank by score, then key, in each group of `by` (a group's rows are sorted together; without one, use orderBy and limit)."""
-    window = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(window.orderBy(F.col(score).desc(), key)))

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 
 def last_turns(turns: DataFrame, session: str, order: str, n: int) -> DataFrame:
-    """The last n turns of each session; n = 0 gives all."""
-    if n <= 0:
-        return turns
+    """The last n turns of each session; none for n of 0 or less."""
     w = Window.partitionBy(session).orderBy(F.desc(order))
     return turns.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 

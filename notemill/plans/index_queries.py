@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from notemill.functions import nested
 from notemill.functions import phrases as P
 from notemill.operators import abbreviations, allergies, concepts, feature_space, medications, sections
 from notemill.operators.inverted_index import Index
@@ -81,6 +82,14 @@ def feature_contributions(spark, sf):
     return told.select("doc_id", F.round("score", 5).alias("score"), total("for_it").alias("for_it"), total("against_it").alias("against_it"))
 
 
+def sanitize_nested(spark, sf):
+    """Documents as nested rows (a struct with an array of lines and a map), sanitised at every depth: doc_id and what each place hashes to."""
+    lines = F.struct(F.split("text", "\n").alias("lines"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("whole"), F.col("text")).alias("about"), F.col("n_chars"))
+    done = nested.sanitized(_docs(spark, sf).select("doc_id", F.struct(lines.alias("inner"), F.col("source")).alias("outer")))
+    at = F.col("outer.inner")
+    return done.select("doc_id", F.md5(F.array_join(at["lines"], "\n")).alias("lines"), F.md5(at["about"]["whole"]).alias("whole"), at["about"]["lang"].alias("lang"), F.col("outer.source").alias("source"), at["n_chars"].alias("n_chars"))
+
+
 _LIVE = "select doc_id, text from documents where not (coalesce(lang = 'en', true) and doc_id in (select doc_id from labels where toxic = 1))"
 _RULES = "r(rules, phrase, entry) as (values " + ", ".join("(" + ", ".join(f"'{x}'" for x in (n, p.lower(), e)) + ")" for n, p, e in sorted(set(_rows()))) + ")"
 #: Each phrase by itself at the places where it stands between other characters than letters, digits and underscores; notes are ASCII.
@@ -95,7 +104,10 @@ def _vectors(name: str, table: str, key: str, text: str) -> str:
 {name}w as (select {key}, "column", idf, (1 + ln(tf)) * idf as w from {name}c join s using (tok)), {name} as (select {key}, "column", idf, w / sqrt(sum(w * w) over (partition by {key})) as w from {name}w)"""
 
 
+_CLEAN = r"left(regexp_replace({}, '[\x00-\x08\x0B\x0E-\x1F\x{{FEFF}}]', '', 'g'), 500000)"
 ORACLES = {
+    "sanitize_nested": f"""select doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_CLEAN.format("x")}), chr(10))) as lines, md5({_CLEAN.format("text")}) as whole,
+{_CLEAN.format("lang")} as lang, {_CLEAN.format("source")} as source, n_chars from documents""",
     "phrase_hits": f"""with {NOTES}, {_RULES}, p as (select distinct phrase, {_EDGE} as pattern from r),
 h as (select note_id, phrase, len(regexp_extract_all(lower(text), pattern)) as n from notes join p on contains(lower(text), phrase))
 select rules, entry, sum(n)::bigint as hits, count(distinct note_id) as notes from h join r using (phrase) where n > 0 group by rules, entry""",

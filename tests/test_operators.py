@@ -327,3 +327,23 @@ def test_feature_space(spark):
     told = {r.doc_id: (r.score, [tuple(x) for x in r.for_it], [tuple(x) for x in r.against_it]) for r in S.contributions(vectors, weights).collect()}
     assert told == {9: (-2.0, [], [(2, -2.0)]), 8: (0.0, [], []), 7: (0.0, [], [])}
     assert S.fit(docs.limit(0)).count() == S.transform(docs.limit(0), space).count() == 0
+
+
+def test_no_last_turns(spark):
+    from notemill.operators import sessions
+
+    turns = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "s int, t int")
+    assert sessions.last_turns(turns, "s", "t", 0).count() == 0 and sessions.last_turns(turns, "s", "t", 1).count() == 2
+
+
+def test_nested_strings(spark):
+    from notemill.functions import nested
+
+    shape = "id int, `a.b` string, s struct<x:string,y:array<map<string,struct<z:string,n:int>>>>"
+    rows = [(1, "a\x00b", ("c\x01", [{"k\x02": ("d\x03", 1), "l": None}, None])), (2, None, None), (3, "", (None, []))]
+    df = spark.createDataFrame(rows, shape)
+    done = nested.sanitized(df)
+    assert done.columns == df.columns and [f.dataType.simpleString() for f in done.schema] == [f.dataType.simpleString() for f in df.schema]
+    got = {r.id: r.asDict(recursive=True) for r in done.collect()}
+    assert got[1] == {"id": 1, "a.b": "ab", "s": {"x": "c", "y": [{"k\x02": {"z": "d", "n": 1}, "l": None}, None]}}
+    assert got[2]["s"] is None and got[3]["s"] == {"x": None, "y": []}
