@@ -48,7 +48,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed (chunks), n_removed_lines, text_sha256 of what stays."""
+    """doc_id, n_lines, n_removed (runs), n_removed_lines, text_sha256 of what stays."""
     done = lines.dedup_lines(common.table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.expr("aggregate(removed, 0L, (a, r) -> a + r.high - r.low)").alias("n_removed_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 

@@ -259,6 +259,60 @@ def test_short_passages_go_whole(spark):
         assert got[i]["text"] == "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone)
 
 
+def test_line_chunks_shift_with_their_lines():
+    rng = np.random.default_rng(5)
+    passage = [int(x) for x in rng.integers(0, 1 << 63, 400)]
+    at = [i for i in lines.boundaries(passage) if 2 <= i < 399]
+    assert 20 < len(at) < 100
+    for before in (1, 3, 50):
+        other = [int(x) for x in rng.integers(0, 1 << 63, before)]
+        assert [i - before for i in lines.boundaries(other + passage) if 2 <= i - before < 399] == at
+    assert lines.boundaries([7]) == [0, 0] and lines.boundaries([7, 7]) == [0, 1]
+
+
+@pytest.mark.parametrize("bits", [64, 6])
+def test_line_dedup_against_brute_force(spark, bits):
+    """Few different lines in long texts, so that chunks, parts of chunks and single pairs come again everywhere, in one row too."""
+    rng = np.random.default_rng(11)
+    stock = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(6)) for _ in range(60)] + ["", " "]
+    texts = ["\n".join(stock[int(i)] for i in rng.integers(0, len(stock), int(rng.integers(0, 30)))) for _ in range(60)]
+    texts += [texts[3], texts[7] + "\n" + texts[3], "\n".join([stock[0]] * 40), "\n".join([stock[0]] * 25), None]
+    docs = [(i if i % 20 else None, t) for i, t in enumerate(texts, 1)]
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
+    pairs, seen, expected = {}, {}, {}
+    for i in order:
+        ls = docs[i][1].split("\n") if docs[i][1] else []
+        solid = [j for j, x in enumerate(ls) if x.strip()]
+        pairs[i] = [(a, b + 1, "\n".join(ls[a : b + 1])) for a, b in zip(solid, solid[1:])]
+        for p in pairs[i]:
+            seen.setdefault(p[2], []).append((i, p[0]))
+    for i in order:
+        ls, gone = docs[i][1].split("\n") if docs[i][1] else [], set()
+        for first in (False, True):
+            for low, high, body in pairs[i]:
+                if len(seen[body]) > 1 and (seen[body][0] == (i, low)) == first:
+                    gone = gone - set(range(low, high)) if first else gone | set(range(low, high))
+        out, low = [], 0
+        while low < len(ls):
+            high = low
+            while high in gone:
+                high += 1
+            part = [len(x.split()) for x in ls[low:high] if x.strip()]
+            out += [] if len(part) >= lines.MIN_LINES and sum(part) >= lines.MIN_WORDS else ls[low:high]
+            out += ls[high : high + 1]
+            low = high + 1
+        expected[i] = "\n".join(out)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in lines.dedup_lines(df, bits=bits).collect())
+    if bits == 64:
+        assert got == sorted((docs[i][0] or -1, expected[i]) for i in order)
+        assert sum(len(t) for _, t in got) < sum(len(t or "") for t in texts) / 1.1
+    else:
+        # lines whose short hashes clash stay
+        kept = dict(x for x in got if x[0] > 0)
+        assert len(got) == len(docs) and all(len(kept[docs[i][0]]) >= len(expected[i]) for i in order if docs[i][0])
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("dims", [1, 2, 3])
 def test_curve_visits_neighbours(spark, dims):
