@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notemill.plans import care_queries, clinical_queries, context_queries, final_queries, index_queries, monitor_queries, note_queries, scoring_queries, stream_queries, text_queries
+from notemill.plans import care_queries, clinical_queries, context_queries, final_queries, index_queries, monitor_queries, note_queries, scoring_queries, state_queries, stream_queries, text_queries
 
-_PARTS = (text_queries, monitor_queries, clinical_queries, scoring_queries, context_queries, stream_queries, note_queries, care_queries, final_queries, index_queries)
+_PARTS = (text_queries, monitor_queries, clinical_queries, scoring_queries, context_queries, stream_queries, note_queries, care_queries, final_queries, index_queries, state_queries)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _part in _PARTS:
