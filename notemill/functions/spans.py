@@ -15,7 +15,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 _TEXTS = ("match", "pre", "post")
 SPAN = StructType([StructField("rule", IntegerType()), StructField("start", LongType()), StructField("end", LongType()), *[StructField(n, StringType()) for n in _TEXTS]])
@@ -53,6 +53,56 @@ def found(docs: DataFrame, rules: list[tuple], text: str = "text", before: int =
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("spans", ArrayType(SPAN)))
 
 
+def found_each(docs: DataFrame, asks: dict[str, tuple[list[tuple], int, int | None]], text: str = "text") -> DataFrame:
+    """docs with a column of spans, as found() gives them, for each of asks (name: rules, before, after), and component_errors, in one pass over the texts.
+
+    A component whose rules can't be compiled or whose search fails on a text has no spans there and its message in component_errors (a map by
+    name; empty where all went well); the others go on.
+    """
+    place, names = docs.columns.index(text), [*docs.columns, *asks, "component_errors"]
+
+    def run(batches):
+        compiled, broken = {}, {}
+        for name, (rules, _, _) in asks.items():
+            try:
+                compiled[name] = [re.compile(r[0]) for r in rules]
+            except (re.error, TypeError) as e:
+                broken[name] = f"{type(e).__name__}: {e}"
+        for batch in batches:
+            columns = {name: ([0], [], [], [], [], [], []) for name in asks}
+            errors = []
+            for t in batch.column(place).to_pylist():
+                failed = dict(broken)
+                for name, (_, before, after) in asks.items():
+                    ends, *parts = columns[name]
+                    try:
+                        rows = [row for i, p in enumerate(compiled.get(name, ()) if t else ()) for row in _matches(t, i, p, before, after)]
+                    except (RecursionError, ValueError, MemoryError) as e:
+                        rows, failed[name] = [], f"{type(e).__name__}: {e}"
+                    for part, values in zip(parts, zip(*rows)):
+                        part.extend(values)
+                    ends.append(len(parts[0]))
+                errors.append(list(failed.items()))
+            arrays = []
+            for ends, rule, start, end, match, pre, post in columns.values():
+                values = [pa.array(rule, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), *(pa.array(x, pa.string()) for x in (match, pre, post))]
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, ["rule", "start", "end", *_TEXTS])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays, pa.array(errors, pa.map_(pa.string(), pa.string()))], names)
+
+    schema = StructType(list(docs.schema.fields))
+    for name in asks:
+        schema = schema.add(name, ArrayType(SPAN))
+    return docs.mapInArrow(run, schema.add("component_errors", MapType(StringType(), StringType())))
+
+
+def _matches(t: str, i: int, p: re.Pattern, before: int, after: int | None):
+    for m in p.finditer(t):
+        a, b = m.span()
+        if a < b:
+            stop = b + after if after is not None else t.find("\n", b)
+            yield i, a, b, m.group(), t[max(0, a - before) : a], t[b:stop] if stop >= 0 else t[b:]
+
+
 def scan(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", before: int = 0, after: int | None = 0) -> DataFrame:
     """key, start, end, match (pre and post too where asked for): a row for each match of pattern."""
     return scan_many(docs, [(pattern,)], key, text, before, after).drop("rule")
