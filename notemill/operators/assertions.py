@@ -42,22 +42,29 @@ def _best(gaps: Column, rules: list[tuple]) -> Column:
     return F.when(first.isNotNull(), F.struct((-first["p"]).alias("priority"), first["d"].alias("distance"), F.get(status, first["i"]).alias("status")))
 
 
-def detect(entities: DataFrame) -> DataFrame:
+def detect(entities: DataFrame, own: list[tuple] | tuple = ()) -> DataFrame:
     """entities (match, pre, post: BEFORE and AFTER characters around, ...) with status and assertion_confidence; rows are judged one by one.
 
     The sentence ends at a newline, or at . ! or ? before white space and a capital. Before an entity a trigger's last occurrence counts, unless a
     scope word follows it; after one its first. A trigger before wins a tie.
+
+    own: more triggers as (pattern, place, status, priority, scope), place being pre, post, pseudo (a phrase that only looks like a trigger) or end (a word that
+    ends scopes); those two need no more fields. Statuses may be new ones. Patterns are matched in any case and come after those of the library, which win ties.
     """
+    if wrong := [t for t in own if t[1] not in ("pre", "post", "pseudo", "end")]:
+        raise ValueError(f"not places of triggers: {wrong}")
+    pre_rules, post_rules = ([*rules, *[(p, *rest) for p, at, *rest in own if at == place]] for rules, place in ((PRE, "pre"), (POST, "post")))
+    ends, false = ("|".join([known, *[f"(?i:{t[0]})" for t in own if t[1] == place]]) for known, place in ((ENDS, "end"), (PSEUDO, "pseudo")))
     # up to the entity's first character, so that a capital there ends the sentence before it
     head = F.regexp_replace(F.concat("pre", F.left("match", F.lit(1))), r"(?s)^.*(?:[.!?]\s+(?=[A-Z])|\n\s*(?=\S))", "")
     tail = F.regexp_replace(F.col("post"), r"(?s)(?:\n|(?<=[.!?])\s+(?=[A-Z])).*$", "")
     near = entities.withColumns({"_pre": F.left(head, F.greatest(F.length(head) - 1, F.lit(0))), "_post": tail})
-    after = F.array(*[F.when(F.col("_pre").rlike("(?i)" + p), F.regexp_extract("_pre", rf"(?is)^.*(?:{p})(.*)$", 1)) for p, *_ in PRE])
-    later = F.array(*[F.when(F.col("_post").rlike("(?i)" + p), F.length(F.regexp_extract("_post", rf"(?is)^(.*?)(?:{p})", 1))) for p, *_ in POST])
-    pseudo = F.when(F.col("_pre").rlike(PSEUDO), F.length(F.regexp_extract("_pre", rf"(?s)^.*(?:{PSEUDO})(.*)$", 1)))
+    after = F.array(*[F.when(F.col("_pre").rlike("(?i)" + p), F.regexp_extract("_pre", rf"(?is)^.*(?:{p})(.*)$", 1)) for p, *_ in pre_rules])
+    later = F.array(*[F.when(F.col("_post").rlike("(?i)" + p), F.length(F.regexp_extract("_post", rf"(?is)^(.*?)(?:{p})", 1))) for p, *_ in post_rules])
+    pseudo = F.when(F.col("_pre").rlike(false), F.length(F.regexp_extract("_pre", rf"(?s)^.*(?:{false})(.*)$", 1)))
     near = near.withColumns({"_after": after, "_later": later, "_pseudo": pseudo}).drop("_pre", "_post")
-    near = near.withColumn("_gaps", F.transform("_after", lambda g: F.when(~g.rlike(ENDS), F.length(g))))
-    near = near.withColumns({"_a": _best(F.col("_gaps"), PRE), "_b": _best(F.col("_later"), POST)})
+    near = near.withColumn("_gaps", F.transform("_after", lambda g: F.when(~g.rlike(ends), F.length(g))))
+    near = near.withColumns({"_a": _best(F.col("_gaps"), pre_rules), "_b": _best(F.col("_later"), post_rules)})
     best = F.when(F.col("_b").isNull() | (F.col("_a.priority") >= F.col("_b.priority")), F.col("_a")).otherwise(F.col("_b"))
     near = near.withColumn("_best", best)
     sure = F.least(F.greatest(SURE + F.col("_best.priority") * 0.02 - F.col("_best.distance") / 10 * 0.01, F.lit(0.5)), F.lit(1.0))

@@ -79,6 +79,15 @@ def summarise(docs: DataFrame, detail: str = "standard", key: str = "doc_id", te
     return cut.mapInArrow(run, f"key {kind}, sentences bigint, kept bigint, summary string").withColumnRenamed("key", key)
 
 
+def key_findings(docs: DataFrame, most: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, rank, score, sentence: the sentences of over 15 characters that the most of IMPORTANT are found in, first ones first; at most `most`, and none without any. Null texts have none. Rows are read one by one, in the JVM."""
+    cut = F.filter(sentences(preprocess(F.coalesce(F.col(text), F.lit("")))), lambda s: F.length(s) > 15)
+    score = lambda s: sum((s.rlike("(?i)" + p.pattern).cast("bigint") for p in IMPORTANT), F.lit(0).cast("bigint"))
+    scored = F.filter(F.transform(cut, lambda s, i: F.struct((-score(s)).alias("o"), i.alias("i"), s.alias("s"))), lambda x: x["o"] < 0)
+    rows = docs.select(F.col(key), F.posexplode(F.slice(F.array_sort(scored), 1, most)).alias("rank", "x"))
+    return rows.select(key, (F.col("rank") + 1).alias("rank"), (-F.col("x.o")).alias("score"), F.col("x.s").alias("sentence"))
+
+
 def common_subsequence(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence. A row of the table is one number with a bit for each word of a: a bit that is off marks where the length grows, so
     a word of b costs a few operations on len(a) bits.
@@ -109,6 +118,31 @@ def rouge_l(pairs: DataFrame, key: str = "pair_id", ref: str = "ref", hyp: str =
     return got.select(F.col("key").alias(key), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
+def rouge(pairs: DataFrame, key: str = "pair_id", ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """key, rouge1, rouge2 and rougeL (structs of precision, recall and f1), reference_length, hypothesis_length, length_ratio: all of them from one reading of a pair, without a shuffle.
+
+    Null texts have no words; what would be divided by 0 is 0. Pairs with equal or null keys are scored one by one.
+    """
+    kind = pairs.schema[key].dataType.simpleString()
+    of = lambda c: words(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    cut = pairs.select(F.col(key).alias("key"), of(ref).alias("a"), of(hyp).alias("b"))
+    common = lambda a, b, n: sum((Counter(zip(*(a[i:] for i in range(n)))) & Counter(zip(*(b[i:] for i in range(n))))).values())
+
+    def run(batches):
+        for batch in batches:
+            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            told = [[common(a, b, 1) for a, b in both], [common(a, b, 2) for a, b in both], [common_subsequence(a, b) for a, b in both], [len(a) for a, _ in both], [len(b) for _, b in both]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(t, pa.int64()) for t in told]], ["key", "one", "two", "lcs", "na", "nb"])
+
+    got = cut.mapInArrow(run, f"key {kind}, one bigint, two bigint, lcs bigint, na bigint, nb bigint")
+
+    def scores(hits: str, less: int, name: str):
+        p, r = (ratio(F.col(hits), F.greatest(F.col(c) - less, F.lit(0))) for c in ("nb", "na"))
+        return F.struct(p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1")).alias(name)
+
+    return got.select(F.col("key").alias(key), scores("one", 0, "rouge1"), scores("two", 1, "rouge2"), scores("lcs", 0, "rougeL"), F.col("na").alias("reference_length"), F.col("nb").alias("hypothesis_length"), ratio(F.col("nb"), F.col("na")).alias("length_ratio"))
+
+
 def partial_matches(gold: DataFrame, guess: DataFrame, key: str = "doc_id", least: float = 0.5) -> DataFrame:
     """By key: credit, n_gold, n_guess. In order of start, a guessed span takes the unused gold span with the largest Jaccard share of characters, if
     it is `least` or more; a different type halves the credit.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notemill.plans import analysis_queries, care_queries, clinical_queries, context_queries, final_queries, index_queries, monitor_queries, note_queries, scoring_queries, state_queries, stream_queries, text_queries
+from notemill.plans import analysis_queries, care_queries, clinical_queries, context_queries, detail_queries, final_queries, index_queries, monitor_queries, note_queries, scoring_queries, state_queries, stream_queries, text_queries
 
-_PARTS = (text_queries, monitor_queries, clinical_queries, scoring_queries, context_queries, stream_queries, note_queries, care_queries, final_queries, index_queries, state_queries, analysis_queries)
+_PARTS = (text_queries, monitor_queries, clinical_queries, scoring_queries, context_queries, stream_queries, note_queries, care_queries, final_queries, index_queries, state_queries, analysis_queries, detail_queries)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _part in _PARTS:

@@ -170,9 +170,9 @@ def _vitals_sql() -> str:
     for i, r in enumerate(V.RULES):
         if i == 5:  # no unit follows: taken along and left out
             r = (r[0].replace(r"(?!\s*°?\s*[FfCc])", r"(\s*°?\s*[FfCc])?"), *r[1:])
-        two = f"lower(regexp_extract(match, '{_raw(r[0])}', 2))" if i in (0, 1, 4, 9, 10, 11) else "null"
+        two = f"lower(regexp_extract(match, '{_raw(r[0])}', 2))" if i in (0, 1, 4, 9, 10, 11, V.FEET) else "null"
         parts.append(f"select note_id, start, \"end\" as stop, {i} as rule, '{r[1]}' as type, '{r[2]}' as unit, {r[3]}::double as confidence, regexp_extract(match, '{_raw(r[0])}', 1)::double as raw, {two} as second from ({_scan_sql('notes', 'note_id', r[0], '1 as one')})" + (f" where regexp_extract(match, '{r[0]}', 2) = ''" if i == 5 else ""))
-    val = "case when type = 'temperature' and (second = 'c' or rule = 5 and raw <= 50) then round(raw * 9.0e0 / 5.0e0 + 32.0e0, 1) when type = 'weight' and regexp_matches(second, '^(lb|pound)') then round(raw / 2.2046e0, 1) when type = 'height' and regexp_matches(second, '^in') then round(raw * 2.54e0, 1) else raw end"
+    val = "case when type = 'temperature' and (second = 'c' or rule = 5 and raw <= 50) then round(raw * 9.0e0 / 5.0e0 + 32.0e0, 1) when type = 'weight' and regexp_matches(second, '^(lb|pound)') then round(raw / 2.2046e0, 1) when rule = 14 then round((raw * 12 + try_cast(second as double)) * 2.54e0, 1) when type = 'height' and regexp_matches(second, '^in') then round(raw * 2.54e0, 1) else raw end"
     ok = "case type " + " ".join(f"when '{t}' then value between {a} and {b}" for t, (a, b) in V.VALID.items()) + " end"
     lvl = "case type " + " ".join(f"when '{t}' then " + (f"greatest({_level('value', b)}, {_level('secondary', V.DIASTOLIC)})" if t == "blood_pressure" else _level("value", b)) for t, b in V.RANGES.items()) + " else 0 end"
     return f"""with {NOTES}, raw as ({" union all ".join(parts)}),
