@@ -20,8 +20,6 @@ from notemill.llm import common as C
 BITS = 4
 #: Rows that one slice of a place should have at most.
 SLICE_ROWS = 100_000
-#: Rows that say where steps of about equal size are.
-SAMPLE = 10_000
 
 
 def curve(spark: SparkSession, dims: int, bits: int = BITS) -> DataFrame:
@@ -58,14 +56,22 @@ def curve(spark: SparkSession, dims: int, bits: int = BITS) -> DataFrame:
 def steps_of(rows: DataFrame, columns: list[str], bits: int = BITS) -> list[Column]:
     """For each column its value's step of 2^bits, in order of the values and about equally full; null comes first.
 
-    The steps are cut by a sample of SAMPLE rows at most (those with the smallest x), so 2^bits - 1 values of each column come to the driver. They shape the boxes only, not
-    how many rows a shard gets.
+    The steps are cut by all rows: step i begins with the value at place i / 2^bits of the column in order, so 2^bits - 1 values of each column come to the driver. They shape
+    the boxes only, not how many rows a shard gets.
     """
-    n = 1 << bits
-    some = rows.orderBy("x").limit(SAMPLE).agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in columns])
-    at = lambda c: F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col(c), F.floor(i * F.size(c) / n).cast("int"))))
-    cuts = some.select(*[at(c).alias(c) for c in columns]).first()
-    return [sum((F.when(F.col(c) >= F.lit(v), 1).otherwise(0) for v in cuts[c] or []), F.lit(0)) for c in columns]
+    return [sum((F.when(F.col(c) >= F.lit(v), 1).otherwise(0) for v in cuts(rows, c, bits)), F.lit(0)) for c in columns]
+
+
+def cuts(rows: DataFrame, column: str, bits: int = BITS) -> list:
+    """The values at places floor(i * n / 2^bits), i from 1, of a column's n values in order, null left out. Values are counted, dealt to ranges and numbered within these; only a count for each range meets in one task."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranges = C.written(counts.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "v").withColumn("range", F.spark_partition_id()), "hilbert_steps")
+    sums = ranges.groupBy("range").agg(F.sum("n").alias("m"))
+    sums = sums.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("whole"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+    placed = ranges.join(F.broadcast(sums), "range").select("v", "n", "whole", upto.alias("upto")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit((1 << bits) - 1))))
+    met = placed.where(f"i * whole div {1 << bits} >= upto - n and i * whole div {1 << bits} < upto").select("i", "v").collect()
+    return [r.v for r in sorted(met, key=lambda r: r.i)]
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
