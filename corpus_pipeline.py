@@ -24,7 +24,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the row with the smallest doc_id, null last, of repeated rows one; null counts as empty. Columns of any name stay."""
     keys = common.Keyed(docs)
-    return keys.chosen(exact_dedup.exact_dedup(keys.rows, key="_key").where("kept"))
+    return keys.without(exact_dedup.exact_dedup(keys.rows, key="_key").where("not kept"))
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +33,14 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts without words, null and empty ones too, are copies of each other. Of repeated rows one stays. Columns of any name stay.
     """
     keys = common.Keyed(docs)
-    return keys.chosen(simhash.near_copies(keys), "left_anti")
+    return keys.without(simhash.near_copies(keys))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item. Null and empty texts stay, repeated rows are judged one by one, columns of any name stay."""
     keys = common.Keyed(docs)
     found = decontaminate.decontaminate(keys.rows, common.table(spark, sf_dir, "benchmark"), key="_key")
-    return keys.chosen(found.where("n_hit = 0"))
+    return keys.without(found.where("n_hit > 0"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

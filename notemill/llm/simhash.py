@@ -465,9 +465,9 @@ def _near_copies(keys: C.Keyed) -> DataFrame:
     size = lambda name, row: firsts.select(F.col("_row").alias(row), F.col("n").alias(name))
 
     def sets_of(ids: DataFrame, tag: str) -> DataFrame:
-        """(_row, grams) of the rows with these ids; only their texts are cut."""
+        """(_row, grams) of the rows with these ids; only their texts are cut, and hardly any others are shuffled."""
         ids = C.written(places(firsts.select("_row", "_key").join(ids.select("_row"), "_row", "left_semi")).select("_row", "file", "at"), f"{tag}-rows")
-        texts = places(rows.select("_key", "text")).join(ids, ["file", "at"]).select("_row", "text")
+        texts = C.sieved(places(rows.select("_key", "text")), ids, ["file", "at"]).where("_maybe").join(ids, ["file", "at"]).select("_row", "text")
         return C.written(texts.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>"), tag)
 
     # families

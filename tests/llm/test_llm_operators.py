@@ -580,3 +580,24 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     for _, stage in p.STAGES:
         assert stage(spark, odd, SF).count() <= odd.count()
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_sieve_shuffles_only_what_may_be_met(spark, odd, monkeypatch):
+    """The pipeline's texts are not shuffled but where they may be dropped; no row that is chosen is lost."""
+    for bits in (25, 16):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        rows = spark.range(20_000).select(F.col("id").alias("a"), F.md5(F.col("id").cast("string")).alias("b"))
+        chosen = common.written(rows.where("a % 7 = 0").unionByName(rows.where("a < 0")), "test-chosen")
+        got = common.sieved(rows, chosen, ["a", "b"])
+        assert got.columns == ["a", "b", "_maybe"] and got.count() == 20_000
+        assert got.where("_maybe and a % 7 = 0").count() == chosen.count()
+        assert got.where("_maybe and a % 7 <> 0").count() < (20 if bits == 25 else 2000)
+    assert common.sieved(rows, chosen.limit(0), ["a", "b"]).where("_maybe").count() == 0
+    docs = common.written(odd, "test-docs")
+    keys = common.Keyed(docs)
+    for gone in (keys.rows.where("false"), keys.rows.where("key % 2 = 0"), keys.rows):
+        left = keys.without(gone)
+        assert left.columns == docs.columns
+        assert Counter(left.collect()) == Counter(docs.collect()) - Counter(keys.plain(gone).collect())
+    plan = keys.without(keys.rows.where("key = 1"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().startswith("Union") and "LeftAnti" not in plan.children().head().toString()
