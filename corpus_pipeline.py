@@ -1,5 +1,6 @@
 """A corpus pipeline of five stages. Each takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns
-the columns of documents; the last adds the tokens. run() writes each stage's result to the shared folder and reads it again.
+the columns of documents; the last adds the tokens. run() writes each stage's result to the shared folder and reads it again. Stages share
+executors and their Python workers, so each bounds the bytes of the batches that these get.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are judged by their shapes alone; repeated rows and keys and null keys one by one; columns of any name stay
     as they are; an empty table stays empty.
     """
+    common.small_batches(spark)
     keys = common.Keyed(docs)
     key, text = keys.place("doc_id"), keys.place("text")
     labels = common.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", key)
@@ -23,6 +25,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the row with the smallest doc_id, null last, of repeated rows one; null counts as empty. Columns of any name stay."""
+    common.small_batches(spark)
     keys = common.Keyed(docs)
     return keys.without(exact_dedup.exact_dedup(keys.rows, key="_key").where("not kept"))
 
@@ -32,12 +35,14 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts without words, null and empty ones too, are copies of each other. Of repeated rows one stays. Columns of any name stay.
     """
+    common.small_batches(spark)
     keys = common.Keyed(docs)
     return keys.without(simhash.near_copies(keys))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item. Null and empty texts stay, repeated rows are judged one by one, columns of any name stay."""
+    common.small_batches(spark)
     keys = common.Keyed(docs)
     found = decontaminate.decontaminate(keys.rows, common.table(spark, sf_dir, "benchmark"), key="_key")
     return keys.without(found.where("n_hit > 0"))
@@ -45,6 +50,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no ids; every row is encoded. Workers that earlier stages used as well remember fewer pieces."""
+    common.small_batches(spark)
     return bpe.bpe_encode(docs, queries.tokenizer("byte_bpe_50k.json"), digests=True, remember=125_000)
 
 

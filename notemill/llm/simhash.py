@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from notemill.llm import common as C
 
@@ -274,9 +275,12 @@ def _ends(owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _shingle_sets(batches):
+    """Puts the shingles in the place of the text, the last column."""
     for batch in batches:
-        for low, high, owner, gram in shingle_sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(_ends(owner, high - low)), pa.array(gram))], ["_row", "grams"])
+        *others, texts = batch.columns
+        for low, high, owner, gram in shingle_sets(texts):
+            lists = pa.ListArray.from_arrays(pa.array(_ends(owner, high - low)), pa.array(gram))
+            yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in others), lists], [*batch.schema.names[:-1], "grams"])
 
 
 def _need(x: np.ndarray) -> np.ndarray:
@@ -402,8 +406,8 @@ def _links(group: pa.Table) -> pa.Table:
     return pa.table({"a": row.take(some), "b": row.take(pa.array(root).take(some))})
 
 
-def _settled(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links a, b within families; _row, cell of each row). live: _row, family, n and the parts of the key.
+def _settled(live: DataFrame, shingled) -> tuple[DataFrame, DataFrame]:
+    """(links a, b within families; _row, cell of each row). live: _row, family, n and the parts of the key. shingled: adds the shingles to rows by file and at.
 
     A family is cut into blocks of bounded size, each compared whole; the first row of each group found there stands for it and is dealt to new
     blocks, until a family is one block or hardly any groups meet any more. Of rows with equal cells all links, or some that tie the same rows together, are known:
@@ -416,7 +420,8 @@ def _settled(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         blocks = F.ceil(F.greatest(F.col("rows") / COPY_ROWS, F.col("grams") / COPY_GRAMS)).cast("bigint")
         sizes = C.written(sizes.select("family", "rows", F.greatest(blocks, F.lit(1)).alias("blocks")), "families")
         dealt = C.written(live.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("_row", F.lit(level)), "blocks")), "blocks")
-        some = dealt.where("rows > 1").select("family", "block", "_row", "none", "key", "file", "at").join(sets, "_row")
+        # a row's place in a block goes with it to its text, so that shingles are shuffled once, to their block
+        some = shingled(dealt.where("rows > 1").select("family", "block", "_row", "none", "key", "file", "at"))
         found = C.written(some.groupBy("family", "block").applyInArrow(_links, "a bigint, b bigint"), "copies")
         links = found if links is None else links.union(found)
         if cells is None:
@@ -464,11 +469,11 @@ def _near_copies(keys: C.Keyed) -> DataFrame:
     places = lambda df: df.withColumns({"file": F.col("_key.file"), "at": F.col("_key.at")})
     size = lambda name, row: firsts.select(F.col("_row").alias(row), F.col("n").alias(name))
 
-    def sets_of(ids: DataFrame, tag: str) -> DataFrame:
-        """(_row, grams) of the rows with these ids; only their texts are cut, and hardly any others are shuffled."""
-        ids = C.written(places(firsts.select("_row", "_key").join(ids.select("_row"), "_row", "left_semi")).select("_row", "file", "at"), f"{tag}-rows")
-        texts = C.sieved(places(rows.select("_key", "text")), ids, ["file", "at"]).where("_maybe").join(ids, ["file", "at"]).select("_row", "text")
-        return C.written(texts.mapInArrow(_shingle_sets, "_row bigint, grams array<bigint>"), tag)
+    def shingled(ids: DataFrame) -> DataFrame:
+        """ids, read from files, with the grams of the texts at their file and at; only these texts are cut, and hardly any others are shuffled."""
+        texts = C.sieved(places(rows.select("_key", "text")), ids, ["file", "at"]).where("_maybe").select("file", "at", "text")
+        schema = StructType(list(ids.schema.fields)).add("grams", ArrayType(LongType()))
+        return ids.join(texts, ["file", "at"]).select(*ids.columns, "text").mapInArrow(_shingle_sets, schema)
 
     # families
     head = entries.select("_row", F.explode(F.array_distinct(F.array("head", "before"))).alias("head")).where("_row <> head").groupBy("_row", "head").agg(F.count("*").alias("common"))
@@ -481,11 +486,11 @@ def _near_copies(keys: C.Keyed) -> DataFrame:
     roots = components(edges)
     family = C.written(roots.union(roots.select("root", "root").distinct()).toDF("_row", "family"), "family")
     live = firsts.select("_row", "n", F.col("_key.none").alias("none"), F.col("_key.key").alias("key"), F.col("_key.file").alias("file"), F.col("_key.at").alias("at")).join(family, "_row")
-    links, cells = _settled(C.written(live, "live"), sets_of(family, "shingles"))
+    links, cells = _settled(C.written(live, "live"), shingled)
 
     # pairs of rows that were not compared yet; a row without a family is its own
     rest = entries.select("bucket", "_row", "lead").join(cells, "_row", "left").withColumn("cell", F.coalesce("cell", "_row"))
-    mixed = rest.groupBy("bucket").agg((F.min("cell") != F.max("cell")).alias("mixed")).where("mixed").select("bucket")
+    mixed = rest.groupBy("bucket").agg(((F.min("cell") != F.max("cell")) & F.max("lead")).alias("mixed")).where("mixed").select("bucket")
     rest = C.written(rest.join(mixed, "bucket").join(size("n", "_row"), "_row"), "rest")
     other = rest.select("bucket", F.col("_row").alias("other"), F.col("n").alias("m"), F.col("cell").alias("cell2"))
     pairs = rest.where("lead").join(other, "bucket").where("cell <> cell2 and n <= m").where(F.col("n") >= COPY_SHARE * F.col("m") - 1e-6)
@@ -497,7 +502,8 @@ def _near_copies(keys: C.Keyed) -> DataFrame:
     some = entries.select("_row", "bucket").join(ids(), "_row", "left_semi").groupBy("_row").agg(F.collect_list("bucket").alias("grams"))
     some = C.written(some.join(size("n", "_row"), "_row"), "some")
     pairs = C.written(pairs.join(of(some, "x"), "x").join(of(some, "y"), "y").where(_could(common, F.col("nx"), F.col("ny"))).select("x", "y"), "pairs")
-    sets = sets_of(ids(), "sets")
+    named = C.written(places(firsts.select("_row", "_key").join(ids(), "_row", "left_semi")).select("_row", "file", "at"), "sets-rows")
+    sets = C.written(shingled(named).select("_row", "grams"), "sets")
     pairs = pairs.join(of(sets, "x"), "x").join(of(sets, "y"), "y")
     across = pairs.where(common >= COPY_SHARE * (F.size("gx") + F.size("gy") - common) - 1e-9).select("y", "x")
     groups = components(links.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))

@@ -601,3 +601,24 @@ def test_sieve_shuffles_only_what_may_be_met(spark, odd, monkeypatch):
         assert Counter(left.collect()) == Counter(docs.collect()) - Counter(keys.plain(gone).collect())
     plan = keys.without(keys.rows.where("key = 1"))._jdf.queryExecution().optimizedPlan()
     assert plan.toString().startswith("Union") and "LeftAnti" not in plan.children().head().toString()
+
+
+def test_pipeline_stages_bound_the_batches_that_go_to_python(spark):
+    """Long texts go to Python by bytes, not 10,000 at a time; a text larger than a batch goes alone."""
+    import corpus_pipeline as p
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat(md5(string(id)), if(id = 5, 200000, 250)) as text")
+    try:
+        p.tokenised(spark, docs, "")
+        got = docs.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    assert sum(r.n for r in got) == 2000
+    assert sorted(r.bytes for r in got)[-2] < 4 << 20
